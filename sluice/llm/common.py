@@ -66,3 +66,35 @@ def ascii_lower(col):
 def held_out(doc_id, mod: int, remainder: int):
     """Fold of a document: crc32 of doc_id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == remainder
+
+
+#: Keys of dropped rows are broadcast up to this many; beyond, they are joined by shuffle.
+BROADCAST_KEYS = 1 << 19
+
+
+def _null_safe(left: DataFrame, right: DataFrame, names: list[str], how: str, small: bool) -> DataFrame:
+    right = right.select(*(F.col(n).alias(f"_r{i}") for i, n in enumerate(names)))
+    on = [F.col(n).eqNullSafe(F.col(f"_r{i}")) for i, n in enumerate(names)]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return left.join(F.broadcast(right) if small else right, cond, how)
+
+
+def keep_rows(docs: DataFrame, keys: dict, verdict: DataFrame) -> DataFrame:
+    """Rows of docs that a verdict keeps; keys are expressions over docs by the names of the verdict's key columns.
+
+    The verdict has a row per document row, with its keys and kept. Rows that agree in
+    all keys can't be told apart: if any is kept, one of them stays.
+    """
+    names = list(keys)
+    per = materialise(verdict.groupBy(*names).agg(F.max("kept").alias("any"), F.count("*").alias("n")).where("NOT any OR n > 1"), "verdict")
+    gone, twice = per.where("NOT any"), per.where("any AND n > 1")
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    marked = docs.withColumns({f"_key_{n}": e for n, e in keys.items()}).toDF(*inner, *names)
+    small = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    rest = _null_safe(marked, gone, names, "left_anti", small)
+    if not twice.isEmpty():
+        once = _null_safe(rest, twice, names, "left_semi", False).dropDuplicates(names)
+        rest = _null_safe(rest, twice, names, "left_anti", False).unionByName(once)
+    return rest.select(*inner).toDF(*docs.columns)

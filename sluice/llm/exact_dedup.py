@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, table
+from .common import ascii_lower, keep_rows, materialise, table
 
 #: Runs merged into one at each level of the tree.
 FAN_IN = 8
@@ -77,6 +77,13 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     )
 
 
+def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
+    """docs with one row of each group of equal texts; columns stay as they are."""
+    verdict = exact_dedup(docs, keep).select("doc_id", "text_sha256", "kept")
+    digest = F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)
+    return keep_rows(docs, {"doc_id": F.col("doc_id"), "text_sha256": digest}, verdict)
+
+
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with its group; the largest doc_id of equal texts stays."""
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")

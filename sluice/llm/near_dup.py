@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialise, table
+from .common import keep_rows, materialise, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -272,3 +272,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRES
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate class and number of links."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """docs with one document of each class of near duplicates, that of the least doc_id; columns stay as they are."""
+    verdict = ngram_jaccard_join(docs, n, threshold, recall).select("doc_id", "text_hash", F.col("keep_first").alias("kept"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return keep_rows(docs, {"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64(text)}, verdict)

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, near_dup
+from . import chat, decontaminate, exact_dedup, langid, near_dup, packing, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_quality": quality.op4_quality,
     "op5_ngram_jaccard_join": near_dup.op5_ngram_jaccard_join,
+    "op6_chat_format": chat.op6_chat_format,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_shard": sharding.op8_shard,
+    "op9_language_id": langid.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op6_chat_format": chat.OP6_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
