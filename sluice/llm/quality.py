@@ -21,6 +21,8 @@ FILTERS = 32
 #: Labelled documents of each class that are learned from, at about.
 PER_CLASS = 3000
 EPOCHS = 12
+#: A small sample is gone through more often, to make so many steps.
+MIN_STEPS = 500
 BATCH = 32
 RATE = 0.004
 #: Documents that score less are rejected.
@@ -91,9 +93,9 @@ def fit(texts: list[bytes], y: np.ndarray, prior: float, seed: int = 11) -> dict
     raw = [np.frombuffer(t, np.uint8) for t in texts]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     m, v = ({k: np.zeros_like(x) for k, x in net.items()} for _ in range(2))
-    step = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
+    step, epochs = 0, max(EPOCHS, -(-MIN_STEPS // -(-len(raw) // BATCH)))
+    for epoch in range(epochs):
+        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
         order = rng.permutation(len(raw))
         for a in range(0, len(order), BATCH):
             g = {k: np.zeros_like(x) for k, x in net.items()}
