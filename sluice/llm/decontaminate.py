@@ -115,7 +115,7 @@ def _scanner(shared, names):
     def run(batches):
         block = pickle.loads(shared.value)
         for b in batches:
-            data, offsets = K.buffers(b.column("text"))
+            data, offsets = K.buffers(b.column("_scanned"))
             n_words, n_hit, spans, items = [], [], [], []
             for w, h, s, found in scan(data, offsets, block):
                 n_words.append(w), n_hit.append(h), spans.append([{"start": x, "end": y} for x, y in s]), items.append(found)
@@ -142,7 +142,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, carry:
     larger benchmark takes one pass for each block, and the passes are united.
     """
     spark = docs.sparkSession
-    source = docs.select(*(F.col(f"`{c}`") for c in carry), F.col(f"`{text_col}`").cast("string").alias("text"))
+    source = docs.select(*(F.col(f"`{c}`") for c in carry), F.col(f"`{text_col}`").cast("string").alias("_scanned"))
     found = "n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<string>"
     kept = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema}
     names = list(carry)
@@ -166,7 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, carry:
         CASE WHEN size(acc) > 0 AND x.start <= element_at(acc, -1).end
              THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
              ELSE concat(acc, array(x)) END)""")
-    joined = every.join(merged.withColumn("spans", united), "_row", "left").join(source.select("_row", "text"), "_row")
+    joined = every.join(merged.withColumn("spans", united), "_row", "left").join(source.select("_row", "_scanned"), "_row")
     return joined.mapInArrow(_count_words(names), schema)
 
 
@@ -175,7 +175,7 @@ def _count_words(names):
 
     def run(batches):
         for b in batches:
-            data, offsets = K.buffers(b.column("text"))
+            data, offsets = K.buffers(b.column("_scanned"))
             hit = np.zeros(b.num_rows, np.int64)
             spans = b.column("spans").to_pylist()
             for i, s in enumerate(spans):
@@ -200,7 +200,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     inner = [f"c{i}" for i in range(len(names))]
     renamed = docs.toDF(*inner)
     text = inner[names.index(text_col)]
-    found = contamination(renamed.withColumn("text", F.col(text)), benchmark, n, tuple(inner))
+    found = contamination(renamed, benchmark, n, tuple(inner), text)
     if mode == "documents":
         return found.where("n_hit = 0").select(*inner).toDF(*names)
     raw = F.col(text).cast("binary")

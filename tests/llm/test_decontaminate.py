@@ -43,7 +43,7 @@ def planted():
 def test_equals_brute_force(spark, limit):
     rows, items = planted()
     docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
-    got = D.contamination(docs, bench, block_bytes=limit).collect()
+    got = D.contamination(docs, bench, carry=("doc_id", "text"), block_bytes=limit).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == brute(rows, items)
     # Spans are where the words are.
     text = {r[0]: (r[1] or "").encode() for r in rows}
