@@ -256,9 +256,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRES
     least = named.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), "sid")).alias("best"))
     verdict = named.join(least, "root").where("size > 1 OR links > 0").select(
         "set_key", F.col("best.id").alias("class_id"), F.col("best.sid").alias("best_sid"), "sid", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    verdict = materialise(verdict, "classes")
     firsts = signed.where("n_grams > 0").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("first"))
-    verdict = verdict.join(firsts, "set_key")
+    # Written, so that both sides of the last join are plain exchanges, whose hot keys adaptive execution splits.
+    verdict = materialise(verdict.join(firsts, "set_key"), "classes")
     joined = signed.select("doc_id", "text_hash", "set_key", "n_grams").join(verdict, "set_key", "left")
     linked = F.col("class_id").isNotNull() | F.col("n_links").isNotNull()
     return joined.select(

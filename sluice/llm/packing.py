@@ -210,7 +210,7 @@ def _state(block, island, pids, sizes, people, capacity) -> dict:
 
 
 def _start(capacity: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         block, island = int(key[0]), int(key[1])
         pdf = pdf.sort_values("pid")
         sizes = pdf["length"].to_numpy(np.int64)
@@ -278,7 +278,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
     A document is its token ids and then the separator. A longer one is cut into pieces
     of capacity tokens, the first of which may be shorter; full pieces are
     sequences of their own, the rest are packed. Returns a row per piece: doc_id, piece,
-    start, length, ids (unsigned 32-bit, little-endian), sequence_id, offset. Null
+    start, length, ids (unsigned 32-bit, little-endian), ids_crc32, sequence_id, offset. Null
     and empty texts are the separator alone. Null ids and repeated rows are
     documents like others; extra columns are ignored; an empty table gives an
     empty result.
@@ -291,7 +291,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     pieces = source.mapInArrow(_cutter(tokenizer, capacity, separator), f"doc_id {kind}, piece int, start long, length long, ids binary")
-    pieces = materialise(pieces.withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    pieces = materialise(pieces.withColumn("pid", F.monotonically_increasing_id()), "pieces", "zstd")
     loose = pieces.where(F.col("length") < capacity).select("pid", "length")
     left, plans, level = loose.count(), [], 0
     while left:
@@ -310,10 +310,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
     plan = None
     for p in plans:
         plan = p if plan is None else plan.unionByName(p)
+    # The checksum is taken below the join, so a caller that needs no ids moves none.
+    pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))
+    names = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"]
     if plan is None:
-        return pieces.select("doc_id", "piece", "start", "length", "ids", (F.col("pid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        return pieces.select(*names, (F.col("pid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return pieces.join(plan, "pid", "left").select(
-        "doc_id", "piece", "start", "length", "ids",
+        *names,
         F.coalesce("sequence_id", F.col("pid") * 2 + 1).alias("sequence_id"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))
 
 
@@ -332,4 +335,4 @@ def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

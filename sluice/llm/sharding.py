@@ -65,13 +65,13 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE)
     total, n_rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     targets = [total * i / n_shards for i in range(1, n_shards)]
     slack = tolerance * total / n_shards
-    # (low key, bytes below it, high key, bytes below it, rows between)
-    brackets = [(0, 0, ONE * ONE, total, n_rows) for _ in targets]
+    # Marks (key, bytes below, rows below): the ends of each bracket.
+    brackets = [((0, 0, 0), (ONE * ONE, total, n_rows)) for _ in targets]
     open_ = [i for i in range(len(targets)) if n_rows]
     while open_:
         probes = set()
         for i in open_:
-            lo, _, hi, _, _ = brackets[i]
+            lo, hi = (m[0] for m in brackets[i])
             step = (hi - lo) / (PROBES + 1)
             for k in range(1, PROBES + 1):
                 p = lo + (hi - lo) * k // (PROBES + 1)
@@ -84,19 +84,18 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE)
         for k in range(len(probes)):
             s, n = s + got.get(k, (0, 0))[0], n + got.get(k, (0, 0))[1]
             below.append(s), ranks.append(n)
-        marks = [(0, 0, 0), *zip(probes, below, ranks, strict=True), (ONE * ONE, total, n_rows)]
         still = []
         for i in open_:
-            lo, _, hi, _, _ = brackets[i]
-            inside = [m for m in marks if lo <= m[0] <= hi]
-            a = max((m for m in inside if m[1] <= targets[i]), key=lambda m: m[0], default=inside[0])
-            b = min((m for m in inside if m[0] > a[0]), key=lambda m: m[0], default=a)
-            brackets[i] = (a[0], a[1], b[0], b[1], b[2] - a[2])
-            miss = min(targets[i] - a[1], b[1] - targets[i])
-            if miss > slack and b[0] - a[0] > 1 and b[2] - a[2] > 1:
+            lo, hi = brackets[i]
+            marks = [lo, *(m for m in zip(probes, below, ranks, strict=True) if lo[0] < m[0] < hi[0]), hi]
+            k = max(k for k, m in enumerate(marks[:-1]) if m[1] <= targets[i])
+            lo, hi = brackets[i] = marks[k], marks[k + 1]
+            miss = min(targets[i] - lo[1], hi[1] - targets[i])
+            if miss > slack and hi[0] - lo[0] > 1 and hi[2] - lo[2] > 1:
                 still.append(i)
         open_ = still
-    return [_pair(min(lo if t - s <= e - t else hi, ONE * ONE - 1)) for (lo, s, hi, e, _), t in zip(brackets, targets, strict=True)], n_rows
+    ends = [lo if t - lo[1] <= hi[1] - t else hi for (lo, hi), t in zip(brackets, targets, strict=True)]
+    return [_pair(min(m[0], ONE * ONE - 1)) for m in ends], n_rows
 
 
 def shard(docs: DataFrame, n_shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

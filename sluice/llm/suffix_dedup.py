@@ -18,7 +18,7 @@ LENGTH = 400
 ANCHOR = 256
 #: Starts of strings that one suffix array sorts, at about.
 BUCKET_STARTS = 100_000
-#: An anchor with more occurrences is resolved by grouping whole strings instead.
+#: An anchor with more different surroundings is resolved by grouping whole strings instead.
 HOT = 4096
 #: Distinct texts whose anchors or spans are broadcast at most; beyond, they are joined by shuffle.
 BROADCAST_TEXTS = 200_000
@@ -45,7 +45,7 @@ def anchors(text: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     places, hashes = [], []
-    up, down = K.powers(slice_ + length)
+    up, down = K.powers(slice_)
     low = np.uint64((1 << 20) - 1)
     with np.errstate(over="ignore"):
         for a in range(0, n - length + 1, slice_ - length):
@@ -90,17 +90,22 @@ def owned_starts(place: np.ndarray, hashes: np.ndarray, n: int, length: int, anc
 
 
 def _anchor_task(length: int, anchor: int):
+    """Arrow task: each distinct anchor hash of each text, and how often the text has it. A text that the task has had before is skipped."""
+
     def run(batches):
+        had: set[bytes] = set()
         for b in batches:
             data, offsets = K.buffers(b.column("text"))
-            digest, count, place, hashes = [], [], [], []
-            for i in range(b.num_rows):
-                p, h = anchors(data[offsets[i] : offsets[i + 1]], length, anchor)
-                count.append(len(p)), place.append(p), hashes.append(h)
-            own = np.repeat(np.arange(b.num_rows), count)
-            digest = b.column("digest").take(pa.array(own))
-            cols = [digest, pa.array(np.concatenate(place) if place else np.zeros(0, np.int64)), pa.array((np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["digest", "pos", "hash"])
+            own, hashes, counts = [], [], []
+            for i, digest in enumerate(b.column("digest").to_pylist()):
+                if digest in had:
+                    continue
+                had.add(digest)
+                h, n = np.unique(anchors(data[offsets[i] : offsets[i + 1]], length, anchor)[1], return_counts=True)
+                own.append(np.full(len(h), i)), hashes.append(h), counts.append(n)
+            if own:
+                cols = [b.column("digest").take(pa.array(np.concatenate(own))), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts))]
+                yield pa.RecordBatch.from_arrays(cols, ["digest", "hash", "n"])
 
     return run
 
@@ -108,53 +113,74 @@ def _anchor_task(length: int, anchor: int):
 def _segment_task(length: int, anchor: int):
     """Arrow task: for each candidate anchor of a text, the bytes around it that decide its starts.
 
-    Ordinary anchors give one row with a digest of those bytes, and the bytes
-    themselves where the batch has not had them yet. Those marked hot give a row
-    for each start with 128 bits of its string instead.
+    A row has a digest of those bytes, and the bytes where the batch has not had
+    them yet. Where a batch has the same bytes at two places, their starts are
+    known to be repeated: one row with twice set stands for them, and
+    adjoining ones are given as runs of repeated starts, rows without content.
     """
 
     def run(batches):
         for b in batches:
             data, offsets = K.buffers(b.column("text"))
-            rows: list[tuple] = []
-            had: set[tuple] = set()
-            held = 0
-            cands = b.column("cands")
-            for i in range(b.num_rows):
+            cands = b.column("cands").to_pylist()
+            digests = b.column("digest").to_pylist()
+            first: dict[tuple, list] = {}
+            runs: list[tuple] = []
+            held, done = 0, set()
+            for i, digest in enumerate(digests):
+                if digest in done:
+                    continue
+                done.add(digest)
                 text = data[offsets[i] : offsets[i + 1]]
                 place, hashes = anchors(text, length, anchor)
                 lo, hi = owned_starts(place, hashes, len(text), length, anchor)
-                c = {x["pos"]: x["hot"] for x in cands[i].as_py()}
-                digest = b.column("digest")[i].as_py()
-                for p, h, s, e in zip(place.tolist(), hashes.view(np.int64).tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    if p not in c or s >= e:
+                wanted = set(cands[i])
+                for h, s, e in zip(hashes.view(np.int64).tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    if h not in wanted or s >= e:
                         continue
-                    if c[p]:
-                        x, y = string_hashes(text[s : e + length - 1], length)
-                        rows += [(digest, s + k, 1, h, None, int(x[k]), int(y[k]), None) for k in range(e - s)]
-                        held += 64 * (e - s)
+                    raw = text[s : min(len(text), e + length)].tobytes()
+                    key = (h, e - s, hashlib.blake2b(raw, digest_size=16).digest())
+                    if key not in first:
+                        first[key] = [digest, s, False, raw]
+                        held += len(raw)
                     else:
-                        raw = text[s : min(len(text), e + length)].tobytes()
-                        content = hashlib.blake2b(raw, digest_size=16).digest()
-                        new = (e - s, content) not in had
-                        had.add((e - s, content))
-                        rows.append((digest, s, e - s, h, content, None, None, raw if new else None))
-                        held += len(raw) * new + 64
-                    if held > 4 << 20:
-                        yield _segment_batch(rows)
-                        rows, held = [], 0
-            if rows:
-                yield _segment_batch(rows)
+                        first[key][2] = True
+                        if runs and runs[-1][0] == digest and runs[-1][2] == s:
+                            runs[-1] = (digest, runs[-1][1], e)
+                        else:
+                            runs.append((digest, s, e))
+                    if held > 8 << 20:
+                        yield _segment_batch(first, runs)
+                        first, runs, held = {}, [], 0
+            if first or runs:
+                yield _segment_batch(first, runs)
 
     return run
 
 
-SEGMENT = "digest binary, pos long, n int, hash long, content binary, h1 long, h2 long, bytes binary"
+SEGMENT = "digest binary, pos long, n int, hash long, content binary, twice boolean, bytes binary"
+
+
+def _segment_batch(first, runs):
+    rows = [(digest, s, n, h, content, twice, raw) for (h, n, content), (digest, s, twice, raw) in first.items()]
+    rows += [(digest, a, b - a, None, None, True, None) for digest, a, b in runs]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["digest", "pos", "n", "hash", "content", "twice", "bytes"])
+
 
+def _string_task(length: int):
+    """Arrow task: 128 bits of each string of hot segments."""
 
-def _segment_batch(rows):
-    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["digest", "pos", "n", "hash", "content", "h1", "h2", "bytes"])
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                n, own = b.column("n")[i].as_py(), b.column("owners")[i].as_py()
+                raw = np.frombuffer(b.column("bytes")[i].as_py(), np.uint8)
+                x, y = string_hashes(raw[: n + length - 1], length)
+                cols = [pa.array([own["digest"]] * n, pa.binary()), pa.array(np.arange(n) + own["pos"]), pa.array(x), pa.array(y), pa.array([b.column("size")[i].as_py() > 1] * n)]
+                yield pa.RecordBatch.from_arrays(cols, ["digest", "pos", "h1", "h2", "twice"])
+
+    return run
 
 
 def string_hashes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +345,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     Every string holds an anchor, the place in it with the least hash, and equal
     strings hold the same one. Anchors are counted, and only text around anchors that
     occur in two places is sorted: identical stretches once, in buckets by anchor,
-    each by a suffix array. An anchor with more occurrences than a bucket should
+    each by a suffix array. An anchor with more different stretches than a bucket should
     hold is resolved start by start, by grouping the whole strings' 128-bit hashes, which
     are counted before they are shuffled.
     """
@@ -328,11 +354,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     source = base.withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     long_ = F.octet_length("text") >= length
     copies = materialise(source.where(long_).groupBy("digest").agg(F.count("*").alias("size"), F.min("doc_id").alias("first_id")), "texts")
-    found = materialise(source.where(long_).select("text", "digest").mapInArrow(_anchor_task(length, ANCHOR), "digest binary, pos long, hash long"), "anchors")
-    where_ = F.struct("digest", "pos")
-    shared = found.groupBy("hash").agg(F.min(where_).alias("lo"), F.max(where_).alias("hi"), F.count("*").alias("k")).where("lo != hi").select("hash", (F.col("k") > HOT).alias("hot"))
-    marked = found.join(shared, "hash").groupBy("digest", "pos").agg(F.max("hot").alias("hot"))
-    cands = marked.groupBy("digest").agg(F.collect_list(F.struct("pos", "hot")).alias("cands")).join(copies, "digest")
+    found = materialise(source.where(long_).select("text", "digest").mapInArrow(_anchor_task(length, ANCHOR), "digest binary, hash long, n long"), "anchors")
+    # Hashes that two texts have, or one text twice.
+    shared = found.groupBy("hash").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("n").alias("n")).where("lo != hi OR n > 1").select("hash")
+    shared = materialise(shared, "shared")
+    marked = found.select("digest", "hash").join(shared, "hash")
+    cands = marked.groupBy("digest").agg(F.collect_set("hash").alias("cands")).join(copies, "digest")
     cands = materialise(cands.select("digest", "first_id", "cands"), "candidates")
 
     # The texts that have candidates, one row of each.
@@ -342,19 +369,26 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     own = F.struct("digest", "pos")
     plain = segments.where("content is not null")
+    key = ["hash", "n", "content"]
     # Identical stretches once: of two places or more, all their starts are repeated.
-    alike = plain.groupBy("hash", "n", "content").agg(F.min(own).alias("owners"), F.max(own).alias("last"), F.first("bytes", ignorenulls=True).alias("bytes"))
-    alike = alike.withColumn("size", F.when(F.col("owners") == F.col("last"), 1).otherwise(2))
-    total = plain.where("bytes is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    alike = plain.groupBy(*key).agg(F.min(own).alias("owners"), F.max(own).alias("last"), F.max("twice").alias("twice"), F.first("bytes").alias("bytes"))
+    alike = materialise(alike.select(*key, "owners", "bytes", F.when((F.col("owners") == F.col("last")) & ~F.col("twice"), 1).otherwise(2).alias("size")), "stretches")
+    twins = alike.where("size > 1").select(*key)
+    twin_runs = plain.select("digest", "pos", *key).join(twins, key, "left_semi").select("digest", F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b"))
+    local_runs = segments.where("content is null").select("digest", F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b"))
+    runs = twin_runs.unionByName(local_runs)
+
+    hot = materialise(alike.groupBy("hash").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("hash"), "hot")
+    cold = alike
+    if not hot.isEmpty():
+        cold = alike.join(hot, "hash", "left_anti")
+        strings = materialise(alike.join(hot, "hash", "left_semi").select("n", "owners", "size", "bytes").mapInArrow(_string_task(length), "digest binary, pos long, h1 long, h2 long, twice boolean"), "strings")
+        again = strings.groupBy("h1", "h2").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.max("twice").alias("twice")).where("lo != hi OR twice").select("h1", "h2")
+        runs = runs.unionByName(strings.join(again, ["h1", "h2"], "left_semi").select("digest", F.col("pos").alias("a"), (F.col("pos") + 1).alias("b")))
+    total = cold.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_buckets = max(1, -(-int(total) // BUCKET_STARTS))
-    bucketed = alike.select(F.pmod("hash", F.lit(n_buckets)).alias("bucket"), "n", "bytes", "size", "owners")
-    sorted_runs = bucketed.groupBy("bucket").applyInArrow(_sort_task(length), "digest binary, a long, b long")
-    twins = plain.groupBy("hash", "n", "content").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo != hi").select("hash", "n", "content")
-    twin_runs = plain.select("digest", "pos", "hash", "n", "content").join(twins, ["hash", "n", "content"], "left_semi").select("digest", F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b"))
-    hot = segments.where("h1 is not null")
-    again = hot.groupBy("h1", "h2").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo != hi").select("h1", "h2")
-    hot_runs = hot.join(again, ["h1", "h2"], "left_semi").select("digest", F.col("pos").alias("a"), (F.col("pos") + 1).alias("b"))
-    runs = sorted_runs.unionByName(twin_runs).unionByName(hot_runs)
+    bucketed = cold.select(F.pmod("hash", F.lit(n_buckets)).alias("bucket"), "n", "bytes", "size", "owners")
+    runs = runs.unionByName(bucketed.groupBy("bucket").applyInArrow(_sort_task(length), "digest binary, a long, b long"))
     listed = runs.groupBy("digest").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     spans = listed.mapInArrow(_merge_task(length), "digest binary, spans array<struct<start: long, end: long>>")
     whole = copies.where("size > 1").select("digest", F.lit(True).alias("all"))
