@@ -283,8 +283,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
     documents like others; extra columns are ignored; an empty table gives an
     empty result.
 
-    Token ids are written once and never shuffled with the plan: packing sees only
-    (pid, length). Loose bins of all blocks are pooled and packed again, in ever fewer
+    Packing sees only (pid, length). Token ids are written once and move in one
+    exchange, when they meet the finished plan; a caller that doesn't select them moves
+    none. Loose bins of all blocks are pooled and packed again, in ever fewer
     blocks, so what blocks waste doesn't grow with their number.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -315,7 +316,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
     names = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"]
     if plan is None:
         return pieces.select(*names, (F.col("pid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return pieces.join(plan, "pid", "left").select(
+    # Merged at every size: a plan that is broadcast only while it is small makes small inputs look cheaper than they are.
+    return pieces.join(plan.hint("merge"), "pid", "left").select(
         *names,
         F.coalesce("sequence_id", F.col("pid") * 2 + 1).alias("sequence_id"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))
 
