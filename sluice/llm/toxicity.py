@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes."""
+"""Toxicity by nearest labelled examples: exact cosines of class-weighted TF-IDF over every word, from block-max inverted lists."""
 
 from __future__ import annotations
 
@@ -6,57 +6,59 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import held_out, materialise, table
+from .common import held_out, table
 
 #: Labelled documents of each class that are indexed, at about.
 PER_CLASS = 2048
-#: Terms of the index: those whose presence tells the classes apart best.
-TERMS = 256
 NEIGHBOURS = 15
-BLOCK = 64
+#: Examples of a block, and blocks of the first group that is searched.
+BLOCK, GROUP = 64, 8
+#: Class factor of a word that tells the classes apart not at all; one that does for sure has 1 more.
+QUIET = 0.1
 #: A vote's weight is 1 / (this + 1 - cosine).
 SOFT = 0.05
 
 
-def doc_terms(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each whole text its distinct word hashes and their counts; with keep (sorted hashes), positions in keep instead."""
+def doc_terms(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each whole text its distinct word hashes, sorted, and their counts."""
     out = []
     for i, j in K.chunks(offsets):
         part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, first = K.words(part, off)
         wh = K.word_hashes(part, starts, ends)
-        if keep is None:
-            out += [np.unique(wh[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
-            continue
-        at = np.searchsorted(keep, wh)
-        hit = np.flatnonzero(keep[np.minimum(at, len(keep) - 1)] == wh) if len(keep) else np.zeros(0, np.int64)
-        cut = np.searchsorted(hit, first)
-        out += [np.unique(at[hit[a:b]], return_counts=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        out += [np.unique(wh[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
     return out
 
 
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All positions of runs, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class BlockMaxIndex:
-    """Labelled unit vectors, term by term, in blocks of examples with the largest weight of each term in each block.
+    """Labelled unit vectors as inverted lists: postings (example, weight) of each term, cut where a block of examples ends, with the largest weight of each cut.
 
-    search() visits blocks in order of the bound that those largest weights
-    give, in groups that double, and stops when no block left can reach the k-th best
-    cosine; so the result is the exact top k, ties going to the earlier example.
+    search() bounds every block by those largest weights, scores the most
+    promising ones, and then all others that can still reach the k-th best cosine; so the
+    result is the exact top k, ties going to the earlier example. keep has every term
+    of the examples, sorted; a word that no example has only adds to the length of a query.
     """
 
-    def __init__(self, keep: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], weights: dict[int, float]):
-        self.keep, self.idf = keep, idf
-        vectors, self.ids, self.labels = [], [], []
+    def __init__(self, keep: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], weights: dict[int, float], unseen: float = 1.0):
+        self.keep, self.idf, self.unseen = keep, idf, unseen
+        self.ids, self.labels, self.at, values = [], [], [], []
         zero = {0: 0.0, 1: 0.0}
         for doc_id, label, at, n in rows:
             if len(at):
                 w = (1 + np.log(n)) * idf[at]
-                v = np.zeros(len(keep), np.float32)
-                v[at] = w / np.sqrt((w * w).sum())
-                vectors.append(v)
+                values.append((w / np.sqrt((w * w).sum())).astype(np.float32))
+                self.at.append(at)
                 self.ids.append(doc_id)
                 self.labels.append(label)
             else:
@@ -65,42 +67,68 @@ class BlockMaxIndex:
         self.labels = np.array(self.labels, np.float64)
         # Documents without any term: how often their kind is toxic.
         self.without = (zero[1] + 0.5 * weights[1] / max(weights.values())) / (zero[0] + zero[1] + 1)
-        n = -(-len(vectors) // BLOCK) * BLOCK
-        self.matrix = np.zeros((len(keep), n), np.float32)
-        if vectors:
-            self.matrix[:, : len(vectors)] = np.stack(vectors).T
-        self.bound = self.matrix.reshape(len(keep), -1, BLOCK).max(2) if n else np.zeros((len(keep), 0), np.float32)
-        self.n, self.table = len(vectors), None
-        self.prior = float((self.weights * self.labels).sum() / self.weights.sum()) if vectors else self.without
-
-    def query(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(n)) * self.idf[at]
-        return (w / np.sqrt((w * w).sum())).astype(np.float32)
+        self.n, self.blocks, self.table = len(values), -(-len(values) // BLOCK), None
+        terms = np.concatenate([*self.at, np.zeros(0, np.int64)]).astype(np.int64)
+        order = np.argsort(terms, kind="stable")
+        self.example = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in self.at])[order]
+        self.weight = np.concatenate([*values, np.zeros(0, np.float32)])[order]
+        # A piece is what one term has in one block: postings cut[i] to cut[i + 1]; a term has pieces first[t] to first[t + 1].
+        piece = terms[order] * self.blocks + self.example // BLOCK
+        begins = np.flatnonzero(np.diff(piece, prepend=-1))
+        self.cut = np.append(begins, len(piece))
+        self.block = self.example[begins] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, begins) if len(begins) else self.weight
+        self.first = np.searchsorted(terms[order][begins], np.arange(len(keep) + 1))
+        self.prior = float((self.weights * self.labels).sum() / self.weights.sum()) if values else self.without
+
+    @property
+    def matrix(self) -> np.ndarray:
+        """Terms by examples, dense; for looking at small indexes."""
+        m = np.zeros((len(self.keep), self.blocks * BLOCK), np.float32)
+        pieces = np.repeat(np.arange(len(self.keep)), np.diff(self.first))
+        m[np.repeat(pieces, np.diff(self.cut)), self.example] = self.weight
+        return m
+
+    def locate(self, terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions in keep, counts) of a text's terms, and the counts of terms that no example has."""
+        if not len(self.keep):
+            return np.zeros(0, np.int64), n[:0], n
+        at = np.searchsorted(self.keep, terms)
+        known = self.keep[np.minimum(at, len(self.keep) - 1)] == terms
+        return at[known], n[known], n[~known]
+
+    def query(self, at: np.ndarray, n: np.ndarray, others: np.ndarray = np.zeros(0)) -> np.ndarray:
+        w, u = (1 + np.log(n)) * self.idf[at], (1 + np.log(others)) * self.unseen
+        return (w / np.sqrt((w * w).sum() + (u * u).sum())).astype(np.float32)
 
     def search(self, at: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0."""
-        bounds = q @ self.bound[at]
+        n = self.first[at + 1] - self.first[at]
+        pieces, w = runs(self.first[at], n), np.repeat(q, n)
+        block = self.block[pieces]
+        bounds = np.bincount(block, w * self.most[pieces], minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        best_s, best_i = np.zeros(0, np.float32), np.zeros(0, np.int64)
-        cube, done, step = self.matrix.reshape(len(self.keep), -1, BLOCK), 0, 2
-        while done < len(order):
-            group = order[done : done + step]
+        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
+        for group in (order[:GROUP], order[GROUP:]):
             if len(best_s) == k:
-                group = group[bounds[group] >= best_s[-1] - 1e-6]
-                if not len(group):
-                    break
-            s = (q @ cube[at[:, None], group].reshape(len(at), -1)).reshape(-1)
-            own = np.flatnonzero(s >= best_s[-1] if len(best_s) == k else s > 0)
-            ids = group[own // BLOCK] * BLOCK + own % BLOCK
-            ok = ids != skip
-            best_s, best_i = np.concatenate([best_s, s[own][ok]]), np.concatenate([best_i, ids[ok]])
-            if len(best_s) > 4 * k:
-                top = best_s >= np.partition(best_s, -k)[-k]
-                best_s, best_i = best_s[top], best_i[top]
-            first = np.lexsort((best_i, -best_s))[:k]
-            best_s, best_i = best_s[first], best_i[first]
-            done, step = done + len(group), step * 2
+                group = group[bounds[group] >= best_s[-1] - 1e-9]
+            if not len(group):
+                break
+            chosen = np.zeros(self.blocks, bool)
+            chosen[group] = True
+            use = chosen[block]
+            length = self.cut[pieces[use] + 1] - self.cut[pieces[use]]
+            to = runs(self.cut[pieces[use]], length)
+            s = np.bincount(self.example[to], self.weight[to] * np.repeat(w[use], length), minlength=self.n)
+            if skip >= 0:
+                s[skip] = 0
+            own = np.flatnonzero(s > 0)
+            if len(own) > k:
+                own = own[s[own] >= np.partition(s[own], -k)[-k]]
+            best_s, best_i = np.concatenate([best_s, s[own]]), np.concatenate([best_i, own])
+            top = np.lexsort((best_i, -best_s))[:k]
+            best_s, best_i = best_s[top], best_i[top]
         return best_i, best_s
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
@@ -112,9 +140,9 @@ class BlockMaxIndex:
     def calibrate(self) -> None:
         """Leave-one-out votes of the examples, pooled into a rising curve of observed shares."""
         votes = np.zeros(self.n)
+        by_example = np.split(self.weight[np.argsort(self.example, kind="stable")], np.cumsum([len(x) for x in self.at])[:-1])
         for i in range(self.n):
-            at = np.flatnonzero(self.matrix[:, i])
-            near, cos = self.search(at, self.matrix[at, i], skip=i)
+            near, cos = self.search(self.at[i], by_example[i], skip=i)
             votes[i] = self.vote(near, cos)
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []  # [weight, toxic weight, last vote]
@@ -145,13 +173,24 @@ def _term_rows(batches):
             ["doc_id", "label", "terms", "counts"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, terms: int = TERMS, text_col: str = "text") -> BlockMaxIndex | None:
+def term_weights(df: np.ndarray, toxic: np.ndarray, n_pos: int, n_neg: int) -> tuple[np.ndarray, float]:
+    """IDF times class factor of every term, from how many examples, and toxic ones, have it; and that of a word that none has.
+
+    The factor rises with the chi-square between presence and label, up to where chance
+    can't have given it to the best of very many terms. It is never 0, so no word is dropped.
+    """
+    n = n_pos + n_neg
+    lift = toxic / max(1, n_pos) - (df - toxic) / max(1, n_neg)
+    chi = lift * lift / (df / n * (1 - df / n) + 1e-9)
+    sure = 16.0 * (1 / max(1, n_pos) + 1 / max(1, n_neg))
+    return (np.log((1 + n) / (1 + df)) + 1) * (QUIET + np.minimum(1, chi / sure)), (np.log(1 + n) + 1) * QUIET
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, text_col: str = "text") -> BlockMaxIndex | None:
     """An index of about per_class labelled documents of each class, chosen by a hash of the id; None without labels.
 
-    The vocabulary is the terms with the largest chi-square between presence
-    and label in that sample, among those that occur more often with the label, and
-    as many again of the others; ties go to the smaller hash. Rows
-    without label are not used; a document labelled twice counts twice.
+    The vocabulary is every word of that sample. Rows without label
+    are not used; a document labelled twice counts twice.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col("doc_id"), F.col(label_col).cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -160,32 +199,21 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
     share = F.coalesce(*(F.when(F.col("label") == c, F.lit(min(1.0, per_class / n))) for c, n in counts.items()))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     texts = docs.select("doc_id", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = materialise(texts.join(F.broadcast(sample), "doc_id").mapInArrow(_term_rows, "doc_id long, label int, terms array<long>, counts array<long>"), "toxicity-terms")
-    n_pos, n_neg = (rows.where(F.col("label") == x).count() for x in (1, 0))
-    if not n_pos + n_neg:
+    rows = texts.join(F.broadcast(sample), "doc_id").mapInArrow(_term_rows, "doc_id long, label int, terms array<long>, counts array<long>").toArrow()
+    if not len(rows):
         return None
-    df = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("q"))
-    lift = F.col("p") / max(1, n_pos) - F.col("q") / max(1, n_neg)
-    every = F.col("p") + F.col("q")
-    chi = lift * lift / (every / (n_pos + n_neg) * (1 - every / (n_pos + n_neg)) + 1e-9)
-    scored = df.where("p + q >= 3").select("term", every.alias("df"), chi.alias("chi"), (lift > 0).alias("up"))
-    # Significance: a term must beat what chance gives to the best of so many terms.
-    floor = 16.0 * (1 / max(1, n_pos) + 1 / max(1, n_neg))
-    picked = scored.where(F.col("chi") >= floor).orderBy(F.desc("up"), F.desc("chi"), "term").limit(terms).collect()
-    keep = np.array([r["term"] for r in picked], np.int64).view(np.uint64)
-    order = np.argsort(keep)
-    keep = keep[order]
-    idf = np.log((1 + n_pos + n_neg) / (1 + np.array([r["df"] for r in picked])[order])) + 1 if len(picked) else np.zeros(0)
-    wanted = F.array(*(F.lit(int(x)) for x in keep.view(np.int64))) if len(keep) else F.array().cast("array<bigint>")
-    slim = rows.select("doc_id", "label", F.filter(F.arrays_zip("terms", "counts"), lambda z: F.array_contains(wanted, z["terms"])).alias("tc")).orderBy("doc_id", "label").collect()
-    held = []
-    for r in slim:
-        h = np.array([x["terms"] for x in r["tc"]], np.int64).view(np.uint64)
-        held.append((r["doc_id"], r["label"], np.searchsorted(keep, h), np.array([x["counts"] for x in r["tc"]], np.float64)))
+    rows = rows.take(pc.sort_indices(rows.select(["doc_id", "label"]), [("doc_id", "ascending"), ("label", "ascending")])).combine_chunks()
+    terms, n = (pc.list_flatten(rows[x]).to_numpy() for x in ("terms", "counts"))
+    label, length = rows["label"].to_numpy(), pc.list_value_length(rows["terms"]).to_numpy()
+    keep, at, df = np.unique(terms.view(np.uint64), return_inverse=True, return_counts=True)
+    n_pos, n_neg = int((label == 1).sum()), int((label == 0).sum())
+    value, unseen = term_weights(df, np.bincount(at, np.repeat(label, length), minlength=len(keep)), n_pos, n_neg)
+    ends = np.cumsum(length)
+    held = [(i, y, at[b - m : b], n[b - m : b]) for i, y, m, b in zip(rows["doc_id"].to_pylist(), label.tolist(), length.tolist(), ends.tolist(), strict=True)]
     seen = {1: max(1, n_pos), 0: max(1, n_neg)}
     weights = {x: counts.get(x, 0) / seen[x] for x in (0, 1)}
     top = max(weights.values())
-    index = BlockMaxIndex(keep, idf, held, {x: w / top for x, w in weights.items()})
+    index = BlockMaxIndex(keep, value, held, {x: w / top for x, w in weights.items()}, unseen)
     index.calibrate()
     return index
 
@@ -197,12 +225,13 @@ def _scorer(shared):
         for b in batches:
             data, offsets = K.buffers(b.column("text"))
             scores, evidence = np.empty(b.num_rows), []
-            for i, (at, n) in enumerate(doc_terms(data, offsets, index.keep)):
-                if not len(at) or not index.n:
+            for i, (terms, counts) in enumerate(doc_terms(data, offsets)):
+                at, n, others = index.locate(terms, counts)
+                if not len(at):
                     scores[i] = index.without
                     evidence.append([])
                     continue
-                near, cos = index.search(at, index.query(at, n))
+                near, cos = index.search(at, index.query(at, n, others))
                 scores[i] = index.score(index.vote(near, cos))
                 evidence.append([{"doc_id": index.ids[x], "cosine": float(c), "label": int(index.labels[x])} for x, c in zip(near.tolist(), cos.tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
@@ -213,8 +242,8 @@ def _scorer(shared):
 def score_toxicity(docs: DataFrame, index: BlockMaxIndex | None, text_col: str = "text") -> DataFrame:
     """doc_id, score and evidence (nearest examples: doc_id, cosine, label) of every document row, from its whole text.
 
-    Texts without any term of the index, null and empty ones included, get the
-    share of toxic documents among labelled ones of that kind, and no evidence. Without
+    Texts that share no word with any example, null and empty ones included, get the
+    share of toxic documents among labelled ones without words, and no evidence. Without
     an index every score is 0. Null ids, repeated rows and extra columns don't matter; an
     empty table gives an empty result.
     """

@@ -1,11 +1,12 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cases import DOCS, documents
+from cases import DOCS, documents, words
 from sluice.llm import common, langid, quality, toxicity
 
 DATA = "/root/testdata/sf0.01"
@@ -98,6 +99,41 @@ def test_block_max_search_is_exact(seed):
         assert np.allclose(sorted(every[near]), sorted(every[order]), atol=1e-5)
 
 
+def test_every_word_of_the_examples_is_indexed(spark):
+    common_words = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(i, f"{common_words} bad{i % 3}" if i % 2 else f"{common_words} only{i}") for i in range(40)] + [(90, "only6 new"), (91, "w7"), (92, "new")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    idx = toxicity.train(docs, labels)
+    assert len(idx.keep) == 300 + 3 + 20 and (idx.idf > 0).all()
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, idx).collect()}
+    assert [e.doc_id for e in got[90].evidence] == [6] and len(got[91].evidence) == toxicity.NEIGHBOURS
+    assert got[92].evidence == [] and got[92].score == idx.without
+
+
+def test_neighbours_are_the_nearest_over_all_words(spark, labels):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    idx = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    text = {r.doc_id: Counter(words(r.text)) for r in docs.collect()}
+    own = {i: text[i] for i, r in labels.items() if r.toxic is not None and text[i]}
+    df, toxic = Counter(w for t in own.values() for w in t), Counter(w for i, t in own.items() if labels[i].toxic for w in t)
+    total = [r.toxic for r in labels.values() if r.toxic is not None]
+    names = sorted(df)
+    value, unseen = toxicity.term_weights(np.array([df[w] for w in names]), np.array([toxic[w] for w in names]), sum(total), len(total) - sum(total))
+    value = dict(zip(names, value))
+
+    def unit(t):
+        v = {w: (1 + np.log(n)) * value.get(w, unseen) for w, n in t.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    units = {i: unit(t) for i, t in own.items()}
+    assert len(idx.keep) == len(names)
+    for r in toxicity.score_toxicity(docs.where("doc_id % 50 = 7"), idx).collect():
+        q = unit(text[r.doc_id])
+        every = sorted((sum(x * u.get(w, 0) for w, x in q.items()) for u in units.values()), reverse=True)
+        assert np.allclose([e.cosine for e in r.evidence], [c for c in every if c > 0][: toxicity.NEIGHBOURS], atol=1e-5)
+
+
 def test_calibration_rises():
     idx, _ = index(3)
     idx.calibrate()
