@@ -192,6 +192,13 @@ def sort_nulls(spark, sf_dir):
     return rows.orderBy(F.asc_nulls_last("v"), "k").limit(1200)
 
 
+@query("sort_nulls_whole", "SELECT c_custkey AS k, CASE WHEN c_acctbal > 5000 THEN c_acctbal END AS v FROM customer ORDER BY v ASC NULLS LAST, k")
+def sort_nulls_whole(spark, sf_dir):
+    """The whole table in order, its null rows last."""
+    rows = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") > 5000, F.col("c_acctbal")).alias("v"))
+    return rows.orderBy(F.asc_nulls_last("v"), "k")
+
+
 @query("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10")
 def limit_offset(spark, sf_dir):
     return load(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(10).limit(25).select("o_orderkey")
