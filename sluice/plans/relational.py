@@ -117,6 +117,13 @@ def join_lateral(spark, sf_dir):
     return spark.sql("SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) WHERE c_nationkey = 3")
 
 
+@query("join_lateral_whole", """SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM customer JOIN orders ON o_custkey = c_custkey) WHERE rn <= 2""")
+def join_lateral_whole(spark, sf_dir):
+    """Two largest orders of every customer, by a lateral subquery."""
+    views(spark, sf_dir, "customer", "orders")
+    return spark.sql("SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)")
+
+
 @query("subquery_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT 1.9 * avg(o_totalprice) FROM orders)")
 def subquery_scalar(spark, sf_dir):
     views(spark, sf_dir, "orders")
@@ -175,6 +182,14 @@ def union_by_name(spark, sf_dir):
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query("union_by_name_whole", "SELECT c_name AS name, c_acctbal AS balance, NULL::VARCHAR AS segment FROM customer UNION ALL SELECT s_name, s_acctbal, 'supplier' FROM supplier")
+def union_by_name_whole(spark, sf_dir):
+    """Both tables whole, their columns matched by name."""
+    a = load(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name"))
+    b = load(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.lit("supplier").alias("segment"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 @query("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 def distinct_rows(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus").distinct()
