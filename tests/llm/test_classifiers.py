@@ -174,3 +174,12 @@ def test_awkward_rows_and_empty_tables(spark):
     assert quality.score_quality(empty, quality.init()).count() == 0
     assert langid.identify(empty, langid.train(empty)).count() == 0
     assert toxicity.score_toxicity(empty, toxicity.train(empty, few)).count() == 0
+
+
+def test_postings_have_the_largest_weight_of_each_block():
+    idx, _ = index(1)
+    cube = idx.matrix.reshape(len(idx.keep), -1, toxicity.BLOCK)
+    most = np.zeros(cube.shape[:2], np.float32)
+    for t in range(len(idx.keep)):
+        most[t, idx.block[idx.first[t] : idx.first[t + 1]]] = idx.most[idx.first[t] : idx.first[t + 1]]
+    assert np.array_equal(most, cube.max(2)) and len(idx.example) == np.count_nonzero(cube)
