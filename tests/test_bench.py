@@ -1,0 +1,7 @@
+import __spark_entry__
+import bench
+from sluice.llm import registry
+
+
+def test_headline_has_every_operator_and_the_pipeline():
+    assert {*registry.QUERIES, "pipeline"} <= set(bench.HEADLINE) <= set(__spark_entry__.queries())
