@@ -1,4 +1,4 @@
-"""Repeated byte strings by suffix arrays: two-stage sorting of the regions that can hold a repeat."""
+"""Repeated byte strings by suffix arrays: two-stage sorting of the stretches that can hold a repeat, and their common prefixes."""
 
 from __future__ import annotations
 
@@ -13,19 +13,19 @@ from . import kernels as K
 from .common import materialise, table
 
 LENGTH = 400
-#: Bytes of an anchor. Of each window of this many fewer than the string's bytes
-#: (and one more), the anchor with the least hash is chosen, so equal strings hold the same anchor at the same place.
-ANCHOR = 256
+#: Least bytes of a passage of over PASSAGE_WORDS words; anchors are taken in strings of this length.
+SHARED = 240
+PASSAGE_WORDS = 50
 #: Starts of strings that one suffix array sorts, at about.
-BUCKET_STARTS = 100_000
-#: An anchor with more different surroundings is resolved by grouping whole strings instead.
-HOT = 4096
+BUCKET_STARTS = 50_000
+#: A key with more different stretches is split by more bytes before a bucket takes it.
+STRETCHES = 512
 #: Distinct texts whose anchors or spans are broadcast at most; beyond, they are joined by shuffle.
 BROADCAST_TEXTS = 200_000
 BROADCAST_ITEMS = 4_000_000
 
-BASE2 = 0xD1342543DE82EF95
-BASE2_INV = pow(BASE2, -1, 1 << 64)
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[9:14] = IS_SPACE[32] = True
 
 
 def _window_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -110,293 +110,380 @@ def _anchor_task(length: int, anchor: int):
     return run
 
 
-def _segment_task(length: int, anchor: int):
-    """Arrow task: for each candidate anchor of a text, the bytes around it that decide its starts.
+def _segment_task(length: int, least: int, anchor: int, words: int):
+    """Arrow task: for each candidate anchor of a text, the stretch of bytes around it that decides its starts.
 
-    A row has a digest of those bytes, and the bytes where the batch has not had
-    them yet. Where a batch has the same bytes at two places, their starts are
-    known to be repeated: one row with twice set stands for them, and
-    adjoining ones are given as runs of repeated starts, rows without content.
+    A row has a digest of those bytes, and the bytes themselves. A stretch that the
+    batch has had before is a row without bytes: its starts are known to be repeated, and
+    adjoining ones are given together.
     """
 
     def run(batches):
         for b in batches:
             data, offsets = K.buffers(b.column("text"))
-            cands = b.column("cands").to_pylist()
-            digests = b.column("digest").to_pylist()
+            cands, digests = b.column("cands").to_pylist(), b.column("digest").to_pylist()
             first: dict[tuple, list] = {}
-            runs: list[tuple] = []
             held, done = 0, set()
             for i, digest in enumerate(digests):
                 if digest in done:
                     continue
                 done.add(digest)
                 text = data[offsets[i] : offsets[i + 1]]
-                place, hashes = anchors(text, length, anchor)
-                lo, hi = owned_starts(place, hashes, len(text), length, anchor)
+                place, hashes = anchors(text, least, anchor)
+                lo, hi = owned_starts(place, hashes, len(text), least, anchor)
+                last_ok = last_passage_start(text, length, words)
                 wanted = set(cands[i])
-                for h, s, e in zip(hashes.view(np.int64).tolist(), lo.tolist(), hi.tolist(), strict=True):
+                for h, p, s, e in zip(hashes.view(np.int64).tolist(), place.tolist(), lo.tolist(), hi.tolist(), strict=True):
                     if h not in wanted or s >= e:
                         continue
-                    raw = text[s : min(len(text), e + length)].tobytes()
-                    key = (h, e - s, hashlib.blake2b(raw, digest_size=16).digest())
-                    if key not in first:
-                        first[key] = [digest, s, False, raw]
+                    raw = text[s : e + length].tobytes()
+                    key = (h, p - s, e - s, hashlib.blake2b(raw, digest_size=16).digest())
+                    own = first.get(key)
+                    if own is None:
+                        first[key] = [digest, s, len(text), last_ok, raw, False, []]
                         held += len(raw)
                     else:
-                        first[key][2] = True
-                        if runs and runs[-1][0] == digest and runs[-1][2] == s:
-                            runs[-1] = (digest, runs[-1][1], e)
-                        else:
-                            runs.append((digest, s, e))
+                        own[5] |= digest != own[0]
+                        own[6].append((digest, s, e - s, len(text), last_ok))
                     if held > 8 << 20:
-                        yield _segment_batch(first, runs)
-                        first, runs, held = {}, [], 0
-            if first or runs:
-                yield _segment_batch(first, runs)
+                        yield _segment_batch(first)
+                        first, held = {}, 0
+            if first:
+                yield _segment_batch(first)
 
     return run
 
 
-SEGMENT = "digest binary, pos long, n int, hash long, content binary, twice boolean, bytes binary"
-
-
-def _segment_batch(first, runs):
-    rows = [(digest, s, n, h, content, twice, raw) for (h, n, content), (digest, s, twice, raw) in first.items()]
-    rows += [(digest, a, b - a, None, None, True, None) for digest, a, b in runs]
-    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["digest", "pos", "n", "hash", "content", "twice", "bytes"])
-
-
-def _string_task(length: int):
-    """Arrow task: 128 bits of each string of hot segments."""
-
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                n, own = b.column("n")[i].as_py(), b.column("owners")[i].as_py()
-                raw = np.frombuffer(b.column("bytes")[i].as_py(), np.uint8)
-                x, y = string_hashes(raw[: n + length - 1], length)
-                cols = [pa.array([own["digest"]] * n, pa.binary()), pa.array(np.arange(n) + own["pos"]), pa.array(x), pa.array(y), pa.array([b.column("size")[i].as_py() > 1] * n)]
-                yield pa.RecordBatch.from_arrays(cols, ["digest", "pos", "h1", "h2", "twice"])
-
-    return run
-
-
-def string_hashes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each string of length bytes, as two signed columns."""
-    out = []
-    with np.errstate(over="ignore"):
-        for base, inv in ((K.BASE, K.BASE_INV), (BASE2, BASE2_INV)):
-            n = len(text)
-            up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, inv, np.uint64)
-            up[0] = down[0] = 1
-            up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-            p = np.zeros(n + 1, np.uint64)
-            np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:n], out=p[1:])
-            out.append(K.mix((p[length:] - p[:-length]) * down[: n - length + 1]).view(np.int64))
-    return out[0], out[1]
-
-
-def suffix_array(text: bytes, starts: np.ndarray, depth: int, ends: np.ndarray) -> list[int]:
-    """The given starts in the order of their suffixes, as far as depth bytes tell.
-
-    Two stages: suffixes smaller than their successor are sorted directly; each other
-    one is placed when the scan of the buckets reaches its successor, which
-    is smaller and so comes first. ends are starts whose successor isn't given;
-    those that are larger than it wait, sorted, until the scan needs them.
+SEGMENT = "digest binary, pos long, n int, len long, last_ok long, key long, ap int, content binary, twice boolean, crossed boolean, bytes binary"
+
+
+def _segment_batch(first):
+    rows, again = [], []
+    for (h, ap, n, content), (digest, s, size, last_ok, raw, crossed, others) in first.items():
+        rows.append((digest, s, n, size, last_ok, h, ap, content, bool(others), crossed, raw))
+        again += [(*x, crossed) for x in others]
+    joined: list[list] = []
+    for digest, s, n, size, last_ok, crossed in sorted(again):
+        if joined and joined[-1][0] == digest and joined[-1][1] + joined[-1][2] == s and joined[-1][5] == crossed:
+            joined[-1][2] += n
+        else:
+            joined.append([digest, s, n, size, last_ok, crossed])
+    rows += [(digest, s, n, size, last_ok, None, None, None, True, crossed, None) for digest, s, n, size, last_ok, crossed in joined]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary()]
+    names = ["digest", "pos", "n", "len", "last_ok", "key", "ap", "content", "twice", "crossed", "bytes"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def last_passage_start(text: np.ndarray, length: int, words: int) -> int:
+    """The last start from which what is left of the text is a passage: length bytes, or bytes of more than so many words; -1 if there is none."""
+    solid = ~IS_SPACE[text]
+    begins = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+    last = len(text) - length
+    if len(begins) > words:
+        after = np.flatnonzero(~solid[begins[-words - 1] :])
+        last = max(last, begins[-words - 1] + (after[0] if len(after) else len(text)) - 1)
+    return max(-1, int(last))
+
+
+def suffix_array(text: np.ndarray, chosen: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """The chosen starts in the order of their suffixes, as far as depth bytes tell.
+
+    text has numbers from 0 to 256, and depth zeros at its end. Two stages: suffixes smaller
+    than their successor are sorted directly; each other one is placed when the scan
+    reaches its successor, which is smaller and so comes first. The scan goes
+    first byte by first byte, and takes a bucket at once. A start that isn't smaller than its
+    successor must be followed by another chosen one, or be the end of its stretch (ends),
+    a place so far behind what is asked for that its order doesn't matter.
     """
-    t = np.frombuffer(text, np.uint8)
-    step = np.append(t[1:], 0).astype(np.int16) - t
-    # First place at or after each whose next byte differs.
-    at = np.where(step != 0, np.arange(len(t)), len(t) - 1)
+    rise = np.append(text[1:], 0).astype(np.int32) - text
+    # First place at or after each whose next number differs.
+    at = np.where(rise != 0, np.arange(len(text)), len(text) - 1)
     at = np.minimum.accumulate(at[::-1])[::-1]
-    smaller = step[at] > 0
-    waits = np.zeros(len(t), bool)
-    waits[ends] = True
-    waits &= ~smaller
-    induced = np.zeros(len(t), bool)
-    induced[starts] = True
-    induced &= ~smaller & ~waits
-
-    def prefix(i: int) -> bytes:
-        return text[i : i + depth]
-
-    direct = starts[smaller[starts]]
-    counts = np.cumsum(np.bincount(t[starts], minlength=256))
-    heads = [0, *counts[:-1].tolist()]
-    close = counts.tolist()
-    tails = (counts - np.bincount(t[direct], minlength=256)).tolist()
-    order = [-1] * len(starts)
-    # Within a bucket the induced ones come first; direct ones fill its end.
-    for i in sorted(direct.tolist(), key=prefix):
-        order[tails[text[i]]] = i
-        tails[text[i]] += 1
-    waiting: list[list[int]] = [[] for _ in range(256)]
-    for i in sorted(np.flatnonzero(waits).tolist(), key=prefix, reverse=True):
-        waiting[text[i]].append(i)
-    is_induced = induced.tolist()
-    bucket = 0
-    for k in range(len(order)):
-        i = order[k]
-        if i < 0:
-            while close[bucket] <= k:
-                bucket += 1
-            i = order[k] = waiting[bucket].pop()
-            heads[bucket] += 1
-        p = i - 1
-        if p >= 0 and is_induced[p]:
-            c = text[p]
-            queue = waiting[c]
-            while queue and prefix(queue[-1]) < prefix(p):
-                order[heads[c]] = queue.pop()
-                heads[c] += 1
-            order[heads[c]] = p
-            heads[c] += 1
-    return order
-
-
-def repeated_starts(segments: list[tuple[int, int, bytes, bool]], length: int) -> list[np.ndarray]:
-    """For each segment (number of starts, bytes, whether it occurs twice), which of its starts begin a string that occurs again.
-
-    A segment's bytes may hold one byte past its last string, so that a suffix just after the last start can be sorted.
-    """
-    texts, starts, ends, begin, at = [], [], [], [], 0
-    for n, raw, _ in segments:
-        extra = len(raw) >= n + length
-        begin.append(at)
-        starts.append(np.arange(at, at + n + extra))
-        ends.append(at + n + extra - 1)
-        texts.append(raw)
-        at += len(raw)
-    text = b"".join(texts)
-    every = np.concatenate(starts)
-    order = suffix_array(text, every, length, np.array(ends))
-    real = np.zeros(len(text), bool)
-    for b, (n, _, twice) in zip(begin, segments, strict=True):
-        real[b : b + n] = True
-    order = [i for i in order if real[i]]
-    hit = np.zeros(len(text), bool)
-    # Neighbours whose common prefix reaches length.
-    last = b""
-    for k, i in enumerate(order):
-        now = text[i : i + length]
-        if now == last:
-            hit[i] = hit[order[k - 1]] = True
-        last = now
-    out = []
-    for b, (n, _, twice) in zip(begin, segments, strict=True):
-        out.append(np.ones(n, bool) if twice else hit[b : b + n])
+    smaller = rise[at] > 0
+    loose = ends[~smaller[ends]]
+    direct = chosen[smaller[chosen]]
+    induced = np.zeros(len(text) + 1, bool)
+    induced[chosen] = True
+    induced[direct] = induced[loose] = False
+    windows = np.lib.stride_tricks.sliding_window_view(text, depth)
+    # Big-endian pairs of bytes, so that the order of memory is that of the numbers.
+    direct = direct[np.argsort(np.ascontiguousarray(windows[direct], ">u2").view(f"V{2 * depth}").ravel(), kind="stable")]
+    of = np.searchsorted(text[direct], np.arange(258))
+    queues: list[list[np.ndarray]] = [[] for _ in range(257)]
+    for c in range(257):
+        queues[c].append(loose[text[loose] == c])
+    order = []
+    for c in range(257):
+        # Those placed by smaller buckets, then runs of this same byte, layer by layer, then those sorted directly.
+        layer = np.concatenate(queues[c])
+        bucket = [layer]
+        while len(layer):
+            layer = layer - 1
+            layer = layer[induced[layer] & (text[layer] == c)]
+            bucket.append(layer)
+        bucket.append(direct[of[c] : of[c + 1]])
+        order.append(np.concatenate(bucket))
+        before = order[-1] - 1
+        before = before[induced[before] & (text[before] > c)]
+        by = np.argsort(text[before], kind="stable")
+        before = before[by]
+        for own in np.split(before, np.flatnonzero(np.diff(text[before])) + 1):
+            if len(own):
+                queues[text[own[0]]].append(own)
+    return np.concatenate(order)
+
+
+def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """How many numbers the suffixes at a and b have in common, up to depth."""
+    windows = np.lib.stride_tricks.sliding_window_view(text, depth)
+    out = np.empty(len(a), np.int64)
+    for i in range(0, len(a), 4096):
+        differ = windows[a[i : i + 4096]] != windows[b[i : i + 4096]]
+        out[i : i + 4096] = np.where(differ.any(1), differ.argmax(1), depth)
     return out
 
 
-def _sort_task(length: int):
-    """Grouped Arrow task over one bucket of segments: runs of repeated starts."""
+def repeated_starts(stretches: list[tuple[int, bytes, int]], length: int, least: int, words: int) -> list[tuple[np.ndarray, bool]]:
+    """For each stretch (number of starts, bytes, text): which of its starts begin a string of length bytes that occurs again, and whether one begins a passage that another text has.
+
+    A passage has length bytes, or more than so many words (of least bytes at least).
+    A stretch has length bytes from just after its last start on, unless its text ends before.
+    """
+    n = np.array([x[0] for x in stretches])
+    size = np.array([len(x[1]) for x in stretches])
+    begin = np.cumsum([0, *(n[:-1] + length)])
+    text = np.zeros(int(begin[-1] + n[-1] + 2 * length), np.uint16)
+    real = np.zeros(len(text), bool)
+    for at, (k, raw, _) in zip(begin.tolist(), stretches, strict=True):
+        text[at : at + len(raw)] = np.frombuffer(raw, np.uint8)
+        text[at : at + len(raw)] += np.uint16(1)
+        real[at : at + k] = True
+    # Beside the starts, those after the last one up to the first that is smaller than its successor.
+    ends = begin + n + length - 1
+    rise = np.diff(text.astype(np.int32), append=0)
+    up = np.flatnonzero(rise > 0)
+    stop = np.append(up, len(text))[np.searchsorted(up, begin + n)]
+    stop = np.minimum(stop, ends)
+    chosen = np.concatenate([np.arange(a, b + 1) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)])
+    order = suffix_array(text, chosen, ends[stop == ends], length)
+    order = order[real[order]]
+    row = np.searchsorted(begin, order, side="right") - 1
+    left = (begin + size)[row] - order
+    doc = np.array([x[2] for x in stretches])[row]
+
+    def prefixes(k: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return np.minimum(common_prefixes(text, order[k], order[other], length), np.minimum(left[k], left[other]))
+
+    m = len(order)
+    near = np.zeros(m + 1, np.int64)
+    near[1:m] = prefixes(np.arange(1, m), np.arange(m - 1))
+    any_ = np.maximum(near[:-1], near[1:])
+    # The nearest entries of other texts, which are the neighbours mostly.
+    change = np.append(True, doc[1:] != doc[:-1])
+    own = np.cumsum(change) - 1
+    first = np.flatnonzero(change)
+    last = np.append(first[1:], m)
+    cross = np.maximum(np.where(change, near[:-1], 0), np.where(np.append(change[1:], True), near[1:], 0))
+    first, last = first[own], last[own]
+    for k, other in ((np.flatnonzero((first > 0) & ~change), first - 1), (np.flatnonzero((last < m) & ~np.append(change[1:], True)), last)):
+        cross[k] = np.maximum(cross[k], prefixes(k, other[k]))
+    # Words that a prefix touches.
+    solid = ~IS_SPACE[np.maximum(text, 1) - 1] & (text > 0)
+    counted = np.cumsum(solid & ~np.append(False, solid[:-1]))
+    ends_at = order + np.maximum(cross, 1) - 1
+    touched = counted[ends_at] - counted[order] + solid[order]
+    passage = (cross >= length) | ((cross >= least) & (touched > words))
+    hit, flagged = np.zeros(len(text), bool), np.zeros(len(n), bool)
+    hit[order[any_ >= length]] = True
+    flagged[row[passage]] = True
+    return [(hit[a : a + c], bool(f)) for a, c, f in zip(begin.tolist(), n.tolist(), flagged, strict=True)]
+
+
+RANGES = "digest binary, a long, b long, passage boolean"
+
+
+def _ranges_batch(rows):
+    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.int64(), pa.int64(), pa.bool_()], strict=True)], ["digest", "a", "b", "passage"])
+
+
+def _sort_task(length: int, least: int, words: int):
+    """Grouped Arrow task over one bucket of stretches: byte ranges of repeated strings, and texts with passages of others."""
 
     def run(t: pa.Table) -> pa.Table:
-        n, raw, size = t.column("n").to_pylist(), t.column("bytes").to_pylist(), t.column("size").to_pylist()
-        owners = t.column("owners").to_pylist()
-        hits = repeated_starts([(a, b, s > 1) for a, b, s in zip(n, raw, size, strict=True)], length)
+        digests = t.column("digest").to_pylist()
+        number = {d: i for i, d in enumerate(dict.fromkeys(digests))}
+        stretches = [(n, raw, number[d]) for n, raw, d in zip(t.column("n").to_pylist(), t.column("bytes").to_pylist(), digests, strict=True)]
         out: list[tuple] = []
-        for own, h in zip(owners, hits, strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], h, [False]])))
-            out += [(own["digest"], own["pos"] + a, own["pos"] + b) for a, b in edge.reshape(-1, 2).tolist()]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({"digest": pa.array(cols[0], pa.binary()), "a": pa.array(cols[1], pa.int64()), "b": pa.array(cols[2], pa.int64())})
+        for digest, pos, twin, (hit, passage) in zip(digests, t.column("pos").to_pylist(), t.column("twin").to_pylist(), repeated_starts(stretches, length, least, words), strict=True):
+            if passage:
+                out.append((digest, None, None, True))
+            if not twin:
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
+                out += [(digest, pos + a, pos + b + length - 1, False) for a, b in edge.reshape(-1, 2).tolist()]
+        return pa.Table.from_batches([_ranges_batch(out)])
 
     return run
 
 
-def _merge_task(length: int):
-    """Arrow task: the bytes that each text's runs of starts cover, as merged spans."""
+def _string_task(length: int, least: int, words: int):
+    """Arrow task over stretches of one start: digests of the string of length bytes, and of the shortest prefix that is a passage."""
 
     def run(batches):
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            out = []
-            for runs in b.column("runs").to_pylist():
-                spans: list[dict] = []
-                for x in sorted(runs, key=lambda x: x["a"]):
-                    end = x["b"] + length - 1
-                    if spans and x["a"] <= spans[-1]["end"]:
-                        spans[-1]["end"] = max(spans[-1]["end"], end)
-                    else:
-                        spans.append({"start": x["a"], "end": end})
-                out.append(spans)
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(out, kind)], ["digest", "spans"])
+            out: list[tuple] = []
+            for digest, pos, raw in zip(b.column("digest").to_pylist(), b.column("pos").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+                raw = raw[:length]
+                solid = ~IS_SPACE[np.frombuffer(raw, np.uint8)]
+                begins = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+                short = max(least, int(begins[words]) + 1) if len(begins) > words else length
+                for kind, k in ((0, length), (1, min(short, length))):
+                    if len(raw) >= k:
+                        out.append((digest, pos, kind, hashlib.blake2b(raw[:k], digest_size=16).digest()))
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["digest", "pos", "kind", "string"])
 
     return run
 
 
+def _merge_task(batches):
+    """Arrow task: each text's byte ranges, merged to spans."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for b in batches:
+        out = []
+        for ranges in b.column("ranges").to_pylist():
+            spans: list[dict] = []
+            for x in sorted(ranges, key=lambda x: x["a"]):
+                if spans and x["a"] <= spans[-1]["end"]:
+                    spans[-1]["end"] = max(spans[-1]["end"], x["b"])
+                else:
+                    spans.append({"start": x["a"], "end": x["b"]})
+            out.append(spans)
+        yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(out, kind), b.column("passage")], ["digest", "spans", "passage"])
+
+
 def _small(df: DataFrame, texts: int, items) -> bool:
     """Whether df has few enough rows and items to broadcast."""
     n, m = df.agg(F.count("*"), F.coalesce(F.sum(items), F.lit(0))).first()
     return n <= texts and m <= BROADCAST_ITEMS
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' id and text with spans, the merged byte ranges covered by strings of length bytes that also start elsewhere.
+def _known(rows: DataFrame, length: int, crossed) -> DataFrame:
+    """Ranges of stretches that occur elsewhere as a whole: all their strings do."""
+    last, fits = F.col("len") - length, F.col("pos") <= F.col("len") - length
+    return rows.select("digest", F.when(fits, F.col("pos")).alias("a"), F.when(fits, F.least(F.col("pos") + F.col("n") - 1, last) + length).alias("b"), (crossed & (F.col("pos") <= F.col("last_ok"))).alias("passage"))
+
+
+SAME = ["key", "ap", "n", "content"]
+
+
+def _distinct(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Different stretches, one row each, and the ranges of those that occur twice.
+
+    Stretches alone under their key are left out: nothing else can have their strings.
+    """
+    own = F.struct("digest", "pos", "len", "last_ok")
+    alike = rows.groupBy(*SAME).agg(F.min(own).alias("own"), F.max(own).alias("last"), F.max("twice").alias("twice"), F.max("crossed").alias("crossed"), F.first("bytes").alias("bytes"))
+    alike = alike.select(*SAME, "own.*", "bytes", (F.col("twice") | (F.col("own") != F.col("last"))).alias("twin"), (F.col("crossed") | (F.col("own.digest") != F.col("last.digest"))).alias("crossed"))
+    alike = materialise(alike, "stretches")
+    twins = alike.where("twin").select(*SAME, F.col("crossed").alias("all_crossed"))
+    known = _known(rows.select(*SAME, "digest", "pos", "len", "last_ok").join(twins, SAME), length, F.col("all_crossed"))
+    shape = alike.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    return materialise(alike.join(shape, "key"), "sharing"), known
+
+
+def _split(rows: DataFrame, length: int, least: int, known: int) -> DataFrame:
+    """Stretches in two, each under a key of more bytes: known bytes from the anchor on and half of what a string may have before them, or after.
+
+    A string of least bytes that has not that half before holds as much after.
+    """
+    half = max(1, (least - known) // 2)
+    ap, n = F.col("ap"), F.col("n")
+    cut = F.greatest(F.lit(0), F.least(ap - half + 1, n))
+    part = lambda side, extra, skip, count, at: F.when(count > 0, F.struct(
+        F.xxhash64("key", F.lit(side), extra).alias("key"), at.cast("int").alias("ap"), count.cast("int").alias("n"), (F.col("pos") + skip).alias("pos"), F.substring(F.col("bytes"), skip + 1, count + length).alias("bytes")))
+    before = part(0, F.substring(F.col("bytes"), ap - half + 1, F.lit(half)), F.lit(0), cut, ap - half)
+    after = part(1, F.substring(F.col("bytes"), ap + known + 1, F.lit(half)), cut, n - cut, ap - cut)
+    halves = rows.select("digest", "len", "last_ok", "twin", "crossed", F.explode(F.array(before, after)).alias("part")).where("part IS NOT NULL")
+    return halves.select("digest", "part.*", "len", "last_ok", F.col("twin").alias("twice"), "crossed", F.substring(F.unhex(F.sha2("part.bytes", 256)), 1, 16).alias("content"))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shared: int = SHARED, words: int = PASSAGE_WORDS) -> DataFrame:
+    """docs' id and text with spans, the merged byte ranges covered by strings of length bytes that also start elsewhere, and passage.
 
     Texts are their UTF-8 bytes; null counts as empty; matches never cross
     documents; strings are judged on the input. Shorter texts have no spans, and a text that
     occurs twice (repeated rows too) is covered whole if it is long enough. Null ids
     don't matter, extra columns are ignored, an empty table gives an empty result.
 
-    Every string holds an anchor, the place in it with the least hash, and equal
-    strings hold the same one. Anchors are counted, and only text around anchors that
-    occur in two places is sorted: identical stretches once, in buckets by anchor,
-    each by a suffix array. An anchor with more different stretches than a bucket should
-    hold is resolved start by start, by grouping the whole strings' 128-bit hashes, which
-    are counted before they are shuffled.
+    passage tells whether another document has a byte range of this one with length
+    bytes, or with more than so many words (runs of other than white space, those cut at its ends
+    included) and shared bytes at least. It removes nothing.
+
+    Every string of shared bytes holds an anchor, the place in it with the least hash, and equal
+    strings hold the same one. Anchors are counted, and only the stretches around anchors that
+    occur in two places go on. Equal stretches are collapsed: their strings are all
+    repeated. Those left alone under their anchor are dropped. The rest, in buckets by anchor,
+    are sorted by two-stage suffix sorting, and the common prefixes of neighbours tell
+    which strings repeat, and for how long. An anchor with more than STRETCHES different
+    stretches is split: they get keys of more bytes before or after the anchor,
+    and are collapsed, dropped and split again until keys are small. What still shares a key when it
+    spans whole strings is strings of one start each; these are grouped by 128-bit digests of BLAKE2.
     """
+    least = min(shared, length)
+    anchor = max(1, least * 3 // 5)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     source = base.withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
-    long_ = F.octet_length("text") >= length
+    long_ = F.octet_length("text") >= least
     copies = materialise(source.where(long_).groupBy("digest").agg(F.count("*").alias("size"), F.min("doc_id").alias("first_id")), "texts")
-    found = materialise(source.where(long_).select("text", "digest").mapInArrow(_anchor_task(length, ANCHOR), "digest binary, hash long, n long"), "anchors")
+    found = materialise(source.where(long_).select("text", "digest").mapInArrow(_anchor_task(least, anchor), "digest binary, hash long, n long"), "anchors")
     # Hashes that two texts have, or one text twice.
-    shared = found.groupBy("hash").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("n").alias("n")).where("lo != hi OR n > 1").select("hash")
-    shared = materialise(shared, "shared")
-    marked = found.select("digest", "hash").join(shared, "hash")
+    common = found.groupBy("hash").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("n").alias("n")).where("lo != hi OR n > 1").select("hash")
+    common = materialise(common, "shared")
+    marked = found.select("digest", "hash").join(common, "hash")
     cands = marked.groupBy("digest").agg(F.collect_set("hash").alias("cands")).join(copies, "digest")
     cands = materialise(cands.select("digest", "first_id", "cands"), "candidates")
 
     # The texts that have candidates, one row of each.
     side = F.broadcast(cands) if _small(cands, BROADCAST_TEXTS, F.size("cands")) else cands
     chosen = source.where(long_).join(side.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("text", "digest", "cands")
-    segments = materialise(chosen.mapInArrow(_segment_task(length, ANCHOR), SEGMENT), "segments")
-
-    own = F.struct("digest", "pos")
-    plain = segments.where("content is not null")
-    key = ["hash", "n", "content"]
-    # Identical stretches once: of two places or more, all their starts are repeated.
-    alike = plain.groupBy(*key).agg(F.min(own).alias("owners"), F.max(own).alias("last"), F.max("twice").alias("twice"), F.first("bytes").alias("bytes"))
-    alike = materialise(alike.select(*key, "owners", "bytes", F.when((F.col("owners") == F.col("last")) & ~F.col("twice"), 1).otherwise(2).alias("size")), "stretches")
-    twins = alike.where("size > 1").select(*key)
-    twin_runs = plain.select("digest", "pos", *key).join(twins, key, "left_semi").select("digest", F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b"))
-    local_runs = segments.where("content is null").select("digest", F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b"))
-    runs = twin_runs.unionByName(local_runs)
-
-    hot = materialise(alike.groupBy("hash").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("hash"), "hot")
-    cold = alike
-    if not hot.isEmpty():
-        cold = alike.join(hot, "hash", "left_anti")
-        strings = materialise(alike.join(hot, "hash", "left_semi").select("n", "owners", "size", "bytes").mapInArrow(_string_task(length), "digest binary, pos long, h1 long, h2 long, twice boolean"), "strings")
-        again = strings.groupBy("h1", "h2").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.max("twice").alias("twice")).where("lo != hi OR twice").select("h1", "h2")
-        runs = runs.unionByName(strings.join(again, ["h1", "h2"], "left_semi").select("digest", F.col("pos").alias("a"), (F.col("pos") + 1).alias("b")))
-    total = cold.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    segments = materialise(chosen.mapInArrow(_segment_task(length, least, anchor, words), SEGMENT), "segments")
+
+    rows, spanned = segments.where("content IS NOT NULL"), anchor
+    ranges = _known(segments.where("content IS NULL"), length, F.col("crossed"))
+    sorted_ = None
+    while True:
+        pending, known = _distinct(rows, length)
+        ranges = ranges.unionByName(known)
+        few = pending.where(F.col("k") <= STRETCHES)
+        sorted_ = few if sorted_ is None else sorted_.unionByName(few)
+        many = pending.where(F.col("k") > STRETCHES)
+        if many.isEmpty():
+            break
+        if spanned == least:
+            strings = materialise(many.select("digest", "pos", "bytes").mapInArrow(_string_task(length, least, words), "digest binary, pos long, kind int, string binary"), "strings")
+            place = F.struct("digest", "pos")
+            again = strings.groupBy("kind", "string").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("(kind = 0 AND lo != hi) OR lo.digest != hi.digest").select("kind", "string")
+            hit = strings.join(again, ["kind", "string"], "left_semi")
+            ranges = ranges.unionByName(hit.select("digest", F.when(F.col("kind") == 0, F.col("pos")).alias("a"), F.when(F.col("kind") == 0, F.col("pos") + length).alias("b"), (F.col("kind") == 1).alias("passage")))
+            break
+        rows = materialise(_split(many, length, least, spanned), "halves")
+        spanned += max(1, (least - spanned) // 2)
+    total = sorted_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_buckets = max(1, -(-int(total) // BUCKET_STARTS))
-    bucketed = cold.select(F.pmod("hash", F.lit(n_buckets)).alias("bucket"), "n", "bytes", "size", "owners")
-    runs = runs.unionByName(bucketed.groupBy("bucket").applyInArrow(_sort_task(length), "digest binary, a long, b long"))
-    listed = runs.groupBy("digest").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    spans = listed.mapInArrow(_merge_task(length), "digest binary, spans array<struct<start: long, end: long>>")
+    bucketed = sorted_.select(F.pmod("key", F.lit(n_buckets)).alias("bucket"), "n", "bytes", "digest", "pos", "twin")
+    ranges = ranges.unionByName(bucketed.groupBy("bucket").applyInArrow(_sort_task(length, least, words), RANGES))
+    listed = ranges.groupBy("digest").agg(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("ranges"), F.max("passage").alias("passage"))
+    spans = listed.mapInArrow(_merge_task, "digest binary, spans array<struct<start: long, end: long>>, passage boolean")
     whole = copies.where("size > 1").select("digest", F.lit(True).alias("all"))
     spans = materialise(spans.join(whole, "digest", "full"), "spans")
     side = F.broadcast(spans) if _small(spans, BROADCAST_TEXTS, F.coalesce(F.size("spans"), F.lit(1))) else spans
-    covered = F.when(F.col("all"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"))))
+    size = F.octet_length("text").cast("long")
     none = F.array().cast("array<struct<start: long, end: long>>")
-    return source.join(side, "digest", "left").select("doc_id", "text", F.coalesce(covered, F.col("spans"), none).alias("spans"))
+    covered = F.when(F.col("all"), F.when(size >= length, F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))).otherwise(none))
+    whole_passage = F.col("all") & ((size >= length) | (F.regexp_count("text", F.lit(r"\S+")) > words))
+    return source.join(side, "digest", "left").select("doc_id", "text", F.coalesce(covered, F.col("spans"), none).alias("spans"), (F.coalesce("passage", F.lit(False)) | F.coalesce(whole_passage, F.lit(False))).alias("passage"))
 
 
 def _cutter(batches):
@@ -413,17 +500,17 @@ def _cutter(batches):
             parts.append(raw[at:])
             left = b"".join(parts)
             total.append(len(raw)), removed.append(len(raw) - len(left)), n.append(len(spans)), kept.append(left)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.binary()), b.column("passage")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "passage"])
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that remain, binary, as a cut may split a character) of each document row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that remain, binary, as a cut may split a character) and passage of each document row."""
     found = repeats(docs, length, id_col, text_col)
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(_cutter, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return found.mapInArrow(_cutter, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, passage boolean")
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of its repeated 400-byte strings."""
+    """Every document without the bytes of its repeated 400-byte strings, and whether it has a passage of over 50 words of another (1) or not (0)."""
     cut = cut_repeats(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("passage").cast("int").alias("shares_passage"))
