@@ -19,8 +19,10 @@ TOLERANCE = 0.001
 PROBES = 31
 #: Rows that a cell of a shard has at about; slots are numbered within cells.
 CELL_ROWS = 50_000
-#: Bits of the second key that divide the cells of a group of equal texts.
-CELL_TIE_BITS = 5
+#: A group of equal texts stays whole up to this share of a shard, or up to the size of the largest row.
+GROUP_TOLERANCE = 0.02
+#: Cells that are divided further are broadcast up to this many; beyond, they are joined by shuffle.
+BROADCAST_CELLS = 1 << 17
 
 OFFSET = 1 << 63
 ONE = 1 << 64
@@ -51,31 +53,32 @@ def _pair(key: int) -> tuple[int, int]:
     return (key >> 64) - OFFSET, (key & (ONE - 1)) - OFFSET
 
 
-def find_splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> tuple[list[tuple[int, int]], int]:
-    """n_shards - 1 keys that divide the bytes evenly, and the number of rows.
+def find_splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE, group_tolerance: float = GROUP_TOLERANCE) -> tuple[list[tuple[int, int]], int, bool]:
+    """n_shards - 1 keys that divide the bytes evenly, the number of rows, and whether equal keys would have to be cut.
 
     Each splitter has a bracket, the exact bytes below its ends, and the rows
     inside. A round sends PROBES keys for each open bracket to all partitions,
     which return bytes and rows between successive probes, and narrows the
-    brackets. A splitter is settled when an end is within tolerance of its target,
-    or when its bracket holds one row or one key. While brackets are wide, probes
-    fall between hashes, so that a group of equal texts is cut only if its bytes
-    demand it.
+    brackets. Probes fall between text hashes until a bracket is one group of equal texts.
+    A group that is no larger than what a shard may be off by (group_tolerance of a shard,
+    or the largest row) is not entered: the splitter takes its nearer edge. Otherwise a
+    splitter is settled when an end is within tolerance of its target, or when its
+    bracket holds one row or one key.
     """
-    total, n_rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    total, n_rows, largest = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
     targets = [total * i / n_shards for i in range(1, n_shards)]
-    slack = tolerance * total / n_shards
+    slack, whole = tolerance * total / n_shards, max(group_tolerance * total / n_shards, largest)
     # Marks (key, bytes below, rows below): the ends of each bracket.
     brackets = [((0, 0, 0), (ONE * ONE, total, n_rows)) for _ in targets]
     open_ = [i for i in range(len(targets)) if n_rows]
+    stuck = False
     while open_:
         probes = set()
         for i in open_:
             lo, hi = (m[0] for m in brackets[i])
-            step = (hi - lo) / (PROBES + 1)
             for k in range(1, PROBES + 1):
                 p = lo + (hi - lo) * k // (PROBES + 1)
-                p = p if step < 2 * ONE else p >> 64 << 64
+                p = p >> 64 << 64 if hi - lo > ONE else p
                 if lo < p < hi:
                     probes.add(p)
         probes = sorted(probes)
@@ -90,46 +93,73 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE)
             marks = [lo, *(m for m in zip(probes, below, ranks, strict=True) if lo[0] < m[0] < hi[0]), hi]
             k = max(k for k, m in enumerate(marks[:-1]) if m[1] <= targets[i])
             lo, hi = brackets[i] = marks[k], marks[k + 1]
-            miss = min(targets[i] - lo[1], hi[1] - targets[i])
-            if miss > slack and hi[0] - lo[0] > 1 and hi[2] - lo[2] > 1:
+            miss, group = min(targets[i] - lo[1], hi[1] - targets[i]), hi[1] - lo[1]
+            if miss <= slack or hi[2] - lo[2] <= 1 or hi[0] - lo[0] == ONE and group <= whole:
+                continue
+            if hi[0] - lo[0] > 1:
                 still.append(i)
+            else:
+                stuck |= group > whole
         open_ = still
     ends = [lo if t - lo[1] <= hi[1] - t else hi for (lo, hi), t in zip(brackets, targets, strict=True)]
-    return [_pair(min(m[0], ONE * ONE - 1)) for m in ends], n_rows
+    return [_pair(min(m[0], ONE * ONE - 1)) for m in ends], n_rows, stuck
 
 
 def shard(docs: DataFrame, n_shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with size, shard (0 to n_shards - 1) and slot (gapless from 0 in each shard), near equal in bytes.
 
     A size is the UTF-8 bytes of the text (null: none) plus 8. Rows are ordered by a
-    hash of the text, then by a hash of the id, so equal texts are neighbours and
-    meet in one shard unless a splitter must cut their group; no shard is more than
-    tolerance, or one document, from its share at either end. Rows equal in id and
-    text are one key and stay together. Null ids are a value like any other; an
-    empty table gives an empty result. The added columns replace input columns
-    of the same names.
+    hash of the text, then by a hash of the id, so equal texts are neighbours. Their group
+    stays in one shard unless it is larger than what a shard may be off by: at either end
+    that is GROUP_TOLERANCE of its share, or the largest row. A larger group is cut where the bytes
+    demand it, to within tolerance or one row. Rows equal in id and text (null ids too)
+    are one key; if these alone are too many for that, rows are numbered, written
+    once, and cut by number. An empty table gives an empty result. The added columns
+    replace input columns of the same names.
 
     Slots need no shard in one task: each shard is divided into cells of the key's
-    leading bits, cells are counted on the narrow keys, and the running count of a
-    cell is added to the row number within it. The texts move in one exchange.
+    leading bits, of CELL_ROWS rows at about. A cell with more, as a hot text has, is
+    divided by bits of the second hash, as many as its count demands. Cells are counted on the
+    narrow keys, and the running count of a cell is added to the row number within it. The
+    texts move in one exchange.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    own = ["size", "shard", "slot", "_h", "_t", "_hbin", "_tbin", "_before"]
+    own = ["size", "shard", "slot", "_h", "_t", "_hbin", "_tbin", "_bits", "_before", "_row"]
     rows = docs.drop(*own).withColumns({"size": (F.octet_length(text) + 8).cast("long"), "_h": F.xxhash64(text)})
     rows = rows.withColumn("_t", F.xxhash64(F.col(f"`{id_col}`"), F.col("_h")))
-    keys = materialise(rows.select(F.col("_h").alias("h"), F.col("_t").alias("t"), "size"), "shard-keys")
-    splitters, n_rows = find_splitters(keys, n_shards, tolerance)
+    narrow = [F.col("_h").alias("h"), F.col("_t").alias("t"), "size"]
+    keys = materialise(rows.select(*narrow), "shard-keys")
+    splitters, n_rows, stuck = find_splitters(keys, n_shards, tolerance)
+    if stuck:
+        rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered").withColumn("_t", F.xxhash64("_t", "_row"))
+        keys = materialise(rows.select(*narrow), "shard-keys")
+        splitters, n_rows, _ = find_splitters(keys, n_shards, tolerance)
     bits = max(1, min(40, math.ceil(math.log2(max(2, n_rows / CELL_ROWS)))))
 
-    def cells(df, h, t):
+    def coarse(df, h, t):
         at = sum((F.when((h > a) | ((h == a) & (t >= b)), 1).otherwise(0) for a, b in splitters), F.lit(0))
-        return df.withColumns({"shard": at.cast("int"), "_hbin": F.shiftright(h, 64 - bits), "_tbin": F.shiftright(t, 64 - CELL_TIE_BITS)})
+        return df.withColumns({"shard": at.cast("int"), "_hbin": F.shiftright(h, 64 - bits)})
+
+    marked = coarse(keys, F.col("h"), F.col("t"))
+    # Log2 of how many cells a bin of more than two cells' rows makes.
+    deep = marked.groupBy("shard", "_hbin").agg(F.count("*").alias("n")).where(F.col("n") > 2 * CELL_ROWS)
+    deep = materialise(deep.select("shard", "_hbin", F.least(F.lit(40), F.ceil(F.log2(F.col("n") / CELL_ROWS))).cast("int").alias("_bits")), "cells")
+    n_deep = deep.limit(BROADCAST_CELLS + 1).count()
+
+    def cells(df, t):
+        if n_deep:
+            df = df.join(F.broadcast(deep) if n_deep <= BROADCAST_CELLS else deep, ["shard", "_hbin"], "left")
+        else:
+            df = df.withColumn("_bits", F.lit(None).cast("int"))
+        # Two shifts, as one by 64 bits would be none.
+        return df.withColumn("_tbin", F.coalesce(F.expr(f"shiftright(shiftright({t}, 63 - _bits), 1)"), F.lit(0).cast("long")))
 
     place = ["shard", "_hbin", "_tbin"]
-    counts = cells(keys, F.col("h"), F.col("t")).groupBy(*place).agg(F.count("*").alias("n"))
+    counts = cells(marked, "t").groupBy(*place).agg(F.count("*").alias("n"))
     run = Window.partitionBy("shard").orderBy("_hbin", "_tbin").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*place, F.coalesce(F.sum("n").over(run), F.lit(0)).alias("_before"))
-    numbered = cells(rows, F.col("_h"), F.col("_t")).withColumn("slot", F.row_number().over(Window.partitionBy(*place).orderBy("_h", "_t", f"`{id_col}`")))
+    placed = cells(coarse(rows, F.col("_h"), F.col("_t")), "_t")
+    numbered = placed.withColumn("slot", F.row_number().over(Window.partitionBy(*place).orderBy("_h", "_t", f"`{id_col}`")))
     placed = numbered.join(before.hint("merge"), place).withColumn("slot", F.col("slot") - 1 + F.col("_before"))
     return placed.select(*(F.col(f"`{c}`") for c in docs.columns if c not in own), "size", "shard", F.col("slot").cast("long").alias("slot"))
 
