@@ -13,13 +13,15 @@ from . import kernels as K
 from .common import materialise, table
 
 LENGTH = 400
-#: Least bytes of a passage of over PASSAGE_WORDS words; anchors are taken in strings of this length.
+#: Least bytes of a passage of PASSAGE_WORDS words; anchors are taken in strings of this length.
 SHARED = 240
 PASSAGE_WORDS = 50
 #: Starts of strings that one suffix array sorts, at about.
 BUCKET_STARTS = 50_000
 #: A key with more different stretches is split by more bytes before a bucket takes it.
-STRETCHES = 512
+STRETCHES = 1024
+#: Parts that a split stretch is divided into.
+PARTS = 8
 #: Distinct texts whose anchors or spans are broadcast at most; beyond, they are joined by shuffle.
 BROADCAST_TEXTS = 200_000
 BROADCAST_ITEMS = 4_000_000
@@ -104,8 +106,9 @@ def _anchor_task(length: int, anchor: int):
                 h, n = np.unique(anchors(data[offsets[i] : offsets[i + 1]], length, anchor)[1], return_counts=True)
                 own.append(np.full(len(h), i)), hashes.append(h), counts.append(n)
             if own:
-                cols = [b.column("digest").take(pa.array(np.concatenate(own))), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts))]
-                yield pa.RecordBatch.from_arrays(cols, ["digest", "hash", "n"])
+                at = pa.array(np.concatenate(own))
+                cols = [b.column("d1").take(at), b.column("d2").take(at), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts))]
+                yield pa.RecordBatch.from_arrays(cols, ["d1", "d2", "hash", "n"])
 
     return run
 
@@ -175,13 +178,13 @@ def _segment_batch(first):
 
 
 def last_passage_start(text: np.ndarray, length: int, words: int) -> int:
-    """The last start from which what is left of the text is a passage: length bytes, or bytes of more than so many words; -1 if there is none."""
+    """The last start from which what is left of the text is a passage: length bytes, or so many words; -1 if there is none."""
     solid = ~IS_SPACE[text]
     begins = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
     last = len(text) - length
-    if len(begins) > words:
-        after = np.flatnonzero(~solid[begins[-words - 1] :])
-        last = max(last, begins[-words - 1] + (after[0] if len(after) else len(text)) - 1)
+    if len(begins) >= words:
+        after = np.flatnonzero(~solid[begins[-words] :])
+        last = max(last, begins[-words] + (after[0] if len(after) else len(text)) - 1)
     return max(-1, int(last))
 
 
@@ -246,7 +249,7 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int)
 def repeated_starts(stretches: list[tuple[int, bytes, int]], length: int, least: int, words: int) -> list[tuple[np.ndarray, bool]]:
     """For each stretch (number of starts, bytes, text): which of its starts begin a string of length bytes that occurs again, and whether one begins a passage that another text has.
 
-    A passage has length bytes, or more than so many words (of least bytes at least).
+    A passage has length bytes, or so many words (of least bytes at least).
     A stretch has length bytes from just after its last start on, unless its text ends before.
     """
     n = np.array([x[0] for x in stretches])
@@ -292,7 +295,7 @@ def repeated_starts(stretches: list[tuple[int, bytes, int]], length: int, least:
     counted = np.cumsum(solid & ~np.append(False, solid[:-1]))
     ends_at = order + np.maximum(cross, 1) - 1
     touched = counted[ends_at] - counted[order] + solid[order]
-    passage = (cross >= length) | ((cross >= least) & (touched > words))
+    passage = (cross >= length) | ((cross >= least) & (touched >= words))
     hit, flagged = np.zeros(len(text), bool), np.zeros(len(n), bool)
     hit[order[any_ >= length]] = True
     flagged[row[passage]] = True
@@ -336,7 +339,7 @@ def _string_task(length: int, least: int, words: int):
                 raw = raw[:length]
                 solid = ~IS_SPACE[np.frombuffer(raw, np.uint8)]
                 begins = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
-                short = max(least, int(begins[words]) + 1) if len(begins) > words else length
+                short = max(least, int(begins[words - 1]) + 1) if len(begins) >= words else length
                 for kind, k in ((0, length), (1, min(short, length))):
                     if len(raw) >= k:
                         out.append((digest, pos, kind, hashlib.blake2b(raw[:k], digest_size=16).digest()))
@@ -377,35 +380,36 @@ def _known(rows: DataFrame, length: int, crossed) -> DataFrame:
 SAME = ["key", "ap", "n", "content"]
 
 
-def _distinct(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Different stretches, one row each, and the ranges of those that occur twice.
-
-    Stretches alone under their key are left out: nothing else can have their strings.
-    """
+def _distinct(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Different stretches, one row each; how many each key has, where there are two or more; and the ranges of those that occur twice."""
     own = F.struct("digest", "pos", "len", "last_ok")
     alike = rows.groupBy(*SAME).agg(F.min(own).alias("own"), F.max(own).alias("last"), F.max("twice").alias("twice"), F.max("crossed").alias("crossed"), F.first("bytes").alias("bytes"))
     alike = alike.select(*SAME, "own.*", "bytes", (F.col("twice") | (F.col("own") != F.col("last"))).alias("twin"), (F.col("crossed") | (F.col("own.digest") != F.col("last.digest"))).alias("crossed"))
     alike = materialise(alike, "stretches")
     twins = alike.where("twin").select(*SAME, F.col("crossed").alias("all_crossed"))
     known = _known(rows.select(*SAME, "digest", "pos", "len", "last_ok").join(twins, SAME), length, F.col("all_crossed"))
-    shape = alike.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    return materialise(alike.join(shape, "key"), "sharing"), known
+    return alike, materialise(alike.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "keys"), known
 
 
-def _split(rows: DataFrame, length: int, least: int, known: int) -> DataFrame:
-    """Stretches in two, each under a key of more bytes: known bytes from the anchor on and half of what a string may have before them, or after.
+def _split(rows: DataFrame, length: int, slack: int, known: int) -> tuple[DataFrame, int]:
+    """Stretches in up to PARTS parts, each under a key of more bytes; and how much slack is left.
 
-    A string of least bytes that has not that half before holds as much after.
+    A string has its anchor 0 to slack bytes after its start, and known bytes of
+    it are in the key. Those of a part have it in a range of step places: so they hold all bytes before the
+    anchor that its first place leaves, and all behind that its last one does.
     """
-    half = max(1, (least - known) // 2)
-    ap, n = F.col("ap"), F.col("n")
-    cut = F.greatest(F.lit(0), F.least(ap - half + 1, n))
-    part = lambda side, extra, skip, count, at: F.when(count > 0, F.struct(
-        F.xxhash64("key", F.lit(side), extra).alias("key"), at.cast("int").alias("ap"), count.cast("int").alias("n"), (F.col("pos") + skip).alias("pos"), F.substring(F.col("bytes"), skip + 1, count + length).alias("bytes")))
-    before = part(0, F.substring(F.col("bytes"), ap - half + 1, F.lit(half)), F.lit(0), cut, ap - half)
-    after = part(1, F.substring(F.col("bytes"), ap + known + 1, F.lit(half)), cut, n - cut, ap - cut)
-    halves = rows.select("digest", "len", "last_ok", "twin", "crossed", F.explode(F.array(before, after)).alias("part")).where("part IS NOT NULL")
-    return halves.select("digest", "part.*", "len", "last_ok", F.col("twin").alias("twice"), "crossed", F.substring(F.unhex(F.sha2("part.bytes", 256)), 1, 16).alias("content"))
+    step = -(-(slack + 1) // PARTS)
+    ap, n, parts = F.col("ap"), F.col("n"), []
+    for low in range(0, slack + 1, step):
+        before = min(low, slack - step + 1)
+        behind = max(0, slack - (low + step - 1))
+        first = F.greatest(F.lit(0), ap - (low + step - 1))
+        count = F.least(n, ap - low + 1) - first
+        key = F.xxhash64("key", F.lit(low), F.substring(F.col("bytes"), ap - before + 1, F.lit(before)), F.substring(F.col("bytes"), ap + known + 1, F.lit(behind)))
+        parts.append(F.when(count > 0, F.struct(
+            key.alias("key"), (ap - before - first).cast("int").alias("ap"), count.cast("int").alias("n"), (F.col("pos") + first).alias("pos"), F.substring(F.col("bytes"), first + 1, count + length).alias("bytes"))))
+    split = rows.select("digest", "len", "last_ok", "twin", "crossed", F.explode(F.array(*parts)).alias("part")).where("part IS NOT NULL")
+    return split.select("digest", "part.*", "len", "last_ok", F.col("twin").alias("twice"), "crossed", F.substring(F.unhex(F.sha2("part.bytes", 256)), 1, 16).alias("content")), step - 1
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shared: int = SHARED, words: int = PASSAGE_WORDS) -> DataFrame:
@@ -417,7 +421,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     don't matter, extra columns are ignored, an empty table gives an empty result.
 
     passage tells whether another document has a byte range of this one with length
-    bytes, or with more than so many words (runs of other than white space, those cut at its ends
+    bytes, or with so many words (runs of other than white space, those cut at its ends
     included) and shared bytes at least. It removes nothing.
 
     Every string of shared bytes holds an anchor, the place in it with the least hash, and equal
@@ -436,13 +440,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     source = base.withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     long_ = F.octet_length("text") >= least
+    # The digest as two numbers, which are grouped without being sorted.
+    halves = [F.xxhash64("digest").alias("d1"), F.xxhash64("digest", F.lit(1)).alias("d2")]
     copies = materialise(source.where(long_).groupBy("digest").agg(F.count("*").alias("size"), F.min("doc_id").alias("first_id")), "texts")
-    found = materialise(source.where(long_).select("text", "digest").mapInArrow(_anchor_task(least, anchor), "digest binary, hash long, n long"), "anchors")
+    found = materialise(source.where(long_).select("text", "digest", *halves).mapInArrow(_anchor_task(least, anchor), "d1 long, d2 long, hash long, n long"), "anchors")
     # Hashes that two texts have, or one text twice.
-    common = found.groupBy("hash").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("n").alias("n")).where("lo != hi OR n > 1").select("hash")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("d1", "d2")]
+    common = found.groupBy("hash").agg(*ends, F.max("n").alias("n")).where("min_d1 != max_d1 OR min_d2 != max_d2 OR n > 1").select("hash")
     common = materialise(common, "shared")
-    marked = found.select("digest", "hash").join(common, "hash")
-    cands = marked.groupBy("digest").agg(F.collect_set("hash").alias("cands")).join(copies, "digest")
+    marked = found.select("d1", "d2", "hash").join(common, "hash")
+    cands = marked.groupBy("d1", "d2").agg(F.collect_set("hash").alias("cands")).join(copies.select("*", *halves), ["d1", "d2"])
     cands = materialise(cands.select("digest", "first_id", "cands"), "candidates")
 
     # The texts that have candidates, one row of each.
@@ -450,26 +457,28 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     chosen = source.where(long_).join(side.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("text", "digest", "cands")
     segments = materialise(chosen.mapInArrow(_segment_task(length, least, anchor, words), SEGMENT), "segments")
 
-    rows, spanned = segments.where("content IS NOT NULL"), anchor
+    rows, slack = segments.where("content IS NOT NULL"), least - anchor
     ranges = _known(segments.where("content IS NULL"), length, F.col("crossed"))
     sorted_ = None
     while True:
-        pending, known = _distinct(rows, length)
+        # Keys with one stretch are left out: nothing else can have its strings.
+        alike, keys, known = _distinct(rows, length)
         ranges = ranges.unionByName(known)
-        few = pending.where(F.col("k") <= STRETCHES)
+        few = alike.join(keys.where(F.col("k") <= STRETCHES), "key", "left_semi")
         sorted_ = few if sorted_ is None else sorted_.unionByName(few)
-        many = pending.where(F.col("k") > STRETCHES)
-        if many.isEmpty():
+        large = keys.where(F.col("k") > STRETCHES)
+        if large.isEmpty():
             break
-        if spanned == least:
+        many = alike.join(large, "key", "left_semi")
+        if not slack:
             strings = materialise(many.select("digest", "pos", "bytes").mapInArrow(_string_task(length, least, words), "digest binary, pos long, kind int, string binary"), "strings")
             place = F.struct("digest", "pos")
             again = strings.groupBy("kind", "string").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("(kind = 0 AND lo != hi) OR lo.digest != hi.digest").select("kind", "string")
             hit = strings.join(again, ["kind", "string"], "left_semi")
             ranges = ranges.unionByName(hit.select("digest", F.when(F.col("kind") == 0, F.col("pos")).alias("a"), F.when(F.col("kind") == 0, F.col("pos") + length).alias("b"), (F.col("kind") == 1).alias("passage")))
             break
-        rows = materialise(_split(many, length, least, spanned), "halves")
-        spanned += max(1, (least - spanned) // 2)
+        rows, slack = _split(many, length, slack, least - slack)
+        rows = materialise(rows, "parts")
     total = sorted_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_buckets = max(1, -(-int(total) // BUCKET_STARTS))
     bucketed = sorted_.select(F.pmod("key", F.lit(n_buckets)).alias("bucket"), "n", "bytes", "digest", "pos", "twin")
@@ -482,7 +491,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     size = F.octet_length("text").cast("long")
     none = F.array().cast("array<struct<start: long, end: long>>")
     covered = F.when(F.col("all"), F.when(size >= length, F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))).otherwise(none))
-    whole_passage = F.col("all") & ((size >= length) | (F.regexp_count("text", F.lit(r"\S+")) > words))
+    whole_passage = F.col("all") & ((size >= length) | (F.regexp_count("text", F.lit(r"\S+")) >= words))
     return source.join(side, "digest", "left").select("doc_id", "text", F.coalesce(covered, F.col("spans"), none).alias("spans"), (F.coalesce("passage", F.lit(False)) | F.coalesce(whole_passage, F.lit(False))).alias("passage"))
 
 
@@ -511,6 +520,6 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of its repeated 400-byte strings, and whether it has a passage of over 50 words of another (1) or not (0)."""
+    """Every document without the bytes of its repeated 400-byte strings, and whether another one has a passage of it of 50 words or more (1) or not (0)."""
     cut = cut_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("passage").cast("int").alias("shares_passage"))
