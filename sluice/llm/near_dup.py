@@ -122,8 +122,8 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out
 
 
-def _forest(adj: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of an undirected 0/1 matrix."""
+def _stars(adj: np.ndarray) -> list[tuple[int, int]]:
+    """(member, first member) of each component of an undirected 0/1 matrix, without the first ones."""
     seen, edges = np.zeros(len(adj), bool), []
     for root in range(len(adj)):
         if seen[root]:
@@ -131,20 +131,23 @@ def _forest(adj: np.ndarray) -> list[tuple[int, int]]:
         seen[root] = True
         stack = [root]
         while stack:
-            u = stack.pop()
-            new = np.flatnonzero(adj[u] & ~seen)
+            new = np.flatnonzero(adj[stack.pop()] & ~seen)
             seen[new] = True
-            edges += [(u, v) for v in new.tolist()]
+            edges += [(v, root) for v in new.tolist()]
             stack += new.tolist()
     return edges
 
 
 def _compare(threshold: float):
-    """Grouped Arrow task over one tile: links of each set in it, and a spanning forest of them."""
+    """Grouped Arrow task over one tile: links of each set in it, and for each component of them an edge to its least set from every other.
+
+    In a tile of a bucket (band 0 or more), a pair counts only if this is the first band
+    that it shares, so that it counts once.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        side = np.array(t.column("side").to_pylist())
-        sid, size = t.column("sid").to_numpy(), t.column("size").to_numpy()
+        t = t.sort_by("sid")
+        side, sid, size = (t.column(c).to_numpy() for c in ("side", "sid", "size"))
         sets = [np.frombuffer(x, np.uint64) for x in t.column("grams").to_pylist()]
         same = bool(t.column("a")[0].as_py() == t.column("b")[0].as_py())
         left = np.flatnonzero(side == 0)
@@ -155,38 +158,68 @@ def _compare(threshold: float):
             n_l, n_r = np.array([len(sets[i]) for i in left]), np.array([len(sets[i]) for i in right])
             adj = inter >= threshold * (n_l[:, None] + n_r[None, :] - inter) - 1e-6
             adj &= inter > 0
+            band = t.column("band")[0].as_py()
+            if band > 0:
+                bands = np.array(t.column("bands").to_pylist())[:, :band]
+                for k in range(band):
+                    adj &= bands[left, k][:, None] != bands[right, k][None, :]
             if same:
                 np.fill_diagonal(adj, False)
             for ids, got in ((left, adj @ size[right]), (right, size[left] @ adj)) if not same else ((left, adj @ size[left]),):
                 for i, x in zip(ids.tolist(), got.tolist(), strict=True):
                     if x:
                         out["sid"].append(int(sid[i])), out["links"].append(int(x)), out["other"].append(None)
-            ids = left if same else np.concatenate([left, right])
-            whole = adj
-            if not same:
-                whole = np.zeros((len(ids), len(ids)), bool)
-                whole[: len(left), len(left) :] = adj
-                whole |= whole.T
-            for u, v in _forest(whole):
-                a, b = sorted((int(sid[ids[u]]), int(sid[ids[v]])))
-                out["sid"].append(b), out["links"].append(0), out["other"].append(a)
+            ids = np.arange(len(sid))
+            whole = np.zeros((len(ids), len(ids)), bool)
+            whole[np.ix_(left, right)] = adj
+            whole |= whole.T
+            for u, v in _stars(whole):
+                out["sid"].append(int(sid[u])), out["links"].append(0), out["other"].append(int(sid[v]))
         return pa.table({"sid": pa.array(out["sid"], pa.int64()), "links": pa.array(out["links"], pa.int64()), "other": pa.array(out["other"], pa.int64())})
 
     return run
 
 
+def _dealt(members: DataFrame, place: list[str]) -> DataFrame:
+    """Members of each place (a cluster, or a bucket) in tiles of bounded size: a row for each tile that a member takes part in, with the tile's two numbers and the member's side."""
+    shape = members.groupBy(*place).agg(F.count("*").alias("m"), F.sum("n_grams").alias("g")).where("m > 1").select(*place, F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("g") / TILE_HASHES)).alias("tiles"))
+    own = members.join(shape, place).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("tiles")))
+    each = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    return each.select("set_key", "sid", "size", "bands", *place, F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"), F.when(F.col("own") <= F.col("o"), 0).otherwise(1).alias("side"))
+
+
+def tiles_of(members: DataFrame, n_bands: int) -> DataFrame:
+    """Which tiles (root, band, bucket, a, b) each candidate set goes to.
+
+    A cluster is compared as a whole, in tiles, while that copies a set no more often
+    than it has bands. In a larger one, as chains of near copies make, only pairs
+    that share a bucket are compared: a set goes to the tiles of each of its buckets.
+    """
+    shape = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g")).select("root", F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("g") / TILE_HASHES)).alias("tiles"))
+    shape = materialise(shape, "shapes")
+    small = members.join(shape.where(F.col("tiles") <= n_bands).select("root"), "root", "left_semi")
+    whole = _dealt(small.withColumn("bands", F.lit(None).cast("array<long>")), ["root"]).withColumns({"band": F.lit(-1), "bucket": F.lit(0).cast("long")})
+    large = shape.where(F.col("tiles") > n_bands).select("root")
+    if large.isEmpty():
+        return whole
+    spread = members.join(large, "root", "left_semi").select("*", F.posexplode("bands").alias("band", "bucket"))
+    return whole.unionByName(_dealt(spread, ["root", "band", "bucket"]))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v); root is the component's least node.
 
     Alternating large-star and small-star rounds: edges never outnumber the
-    input's, and every round is grouped minima and joins on one narrow table.
+    input's, and every round is grouped minima and joins on one narrow table. Hubs should be
+    the lesser ends of their edges: the large step, which they meet in, can be split.
     """
     now = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # Written, so that the join has plain exchanges on both sides and adaptive execution can split a hub.
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "stars")
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_min.select("u", F.col("m").alias("v")))
         now = materialise(small.where("u != v").distinct(), "edges")
@@ -212,12 +245,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRES
     class_id. Repeated rows are documents of their own, linked with each other;
     they share keep_first, as nothing tells them apart.
 
+    Ids are whole numbers. Shingles are compared as 64-bit hashes, and sets are told
+    apart by 128 bits of them; neither is checked against the words.
+
     Documents of equal sets are collapsed first, so copies never multiply. Band
     hashes are shuffled as (hash, id) pairs; each bucket adds one edge from each
     member to its least member, and the components of those edges are candidate
-    clusters. Every pair within a cluster is then verified on full sets, tile by
-    tile of bounded size: a tile emits a count for each member and a spanning forest,
-    never its pairs.
+    clusters. Every pair within a cluster, or in a very large one every pair that shares a
+    bucket, is then verified on full sets, tile by tile of bounded size: a tile emits a
+    count for each member and an edge to the least one of its component, never its pairs.
     """
     bands, rows = choose_bands(threshold, recall)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -233,7 +269,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRES
     heads = band_rows.groupBy("band").agg(F.min("sid").alias("head"), F.count("*").alias("k")).where("k > 1").select("band", "head")
     stars = band_rows.join(heads, "band").where("sid != head").select(F.col("sid").alias("u"), F.col("head").alias("v"))
     clusters = connected_components(stars)
-    members = materialise(sets.select("sid", "set_key", "size", "n_grams", "first_id").join(clusters.withColumnRenamed("node", "sid"), "sid"), "members")
+    members = materialise(sets.select("sid", "set_key", "size", "n_grams", "first_id", "bands").join(clusters.withColumnRenamed("node", "sid"), "sid"), "members")
 
     # Full sets of the members only.
     ids = members.select("first_id").distinct()
@@ -241,12 +277,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRES
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     wanted = narrow.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     grams = wanted.select("text").mapInArrow(_gram_maker(n), "set_key binary, grams binary")
-    shape = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g")).select("root", F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("g") / TILE_HASHES)).alias("tiles"))
-    placed = members.join(shape, "root").select("set_key", "sid", "size", "root", "tiles", F.pmod(F.xxhash64("sid"), F.col("tiles")).alias("own"))
-    held = placed.join(grams, "set_key").dropDuplicates(["sid"])
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    dealt = held.withColumn("o", other).select("root", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"), F.when(F.col("own") <= F.col("o"), 0).otherwise(1).alias("side"), "sid", "size", "grams")
-    verified = materialise(dealt.groupBy("root", "a", "b").applyInArrow(_compare(threshold), "sid long, links long, other long"), "links")
+    held = members.select("set_key").join(grams, "set_key").dropDuplicates(["set_key"])
+    dealt = tiles_of(members, bands).join(held, "set_key")
+    verified = materialise(dealt.groupBy("root", "band", "bucket", "a", "b").applyInArrow(_compare(threshold), "sid long, links long, other long"), "links")
 
     # Classes and counts back to documents.
     links = verified.groupBy("sid").agg(F.sum("links").alias("links"))

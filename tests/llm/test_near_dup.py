@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from cases import DOCS, documents, words
@@ -52,11 +53,35 @@ def test_generated_table_equals_brute_force(spark):
     assert len(kept) == len({r.class_id for r in got})
 
 
-def test_small_tiles_give_the_same(spark, monkeypatch):
-    """A large cluster of different texts is compared tile by tile."""
+def chain(n):
+    """Near copies in a row: each differs from the next a little, and from far ones wholly."""
+    return [(i, " ".join(f"w{k}" for k in range(6 * i, 6 * i + 120)), None, None, None) for i in range(n)]
+
+
+@pytest.mark.parametrize("tile", [7, 2])
+def test_small_tiles_give_the_same(spark, monkeypatch, tile):
+    """A large cluster of different texts is compared tile by tile, or bucket by bucket."""
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join([*base[: 3 * i], f"x{i}", *base[3 * i + 1 :]]), None, None, None) for i in range(60)]
-    monkeypatch.setattr(near_dup, "TILE_SETS", 7)
+    rows += [(1000 + r[0], *r[1:]) for r in chain(70)]
+    monkeypatch.setattr(near_dup, "TILE_SETS", tile)
+    check(spark, rows)
+
+
+def test_tiles_of_a_long_chain_grow_with_its_length(spark, monkeypatch):
+    """Sets of a chain share buckets with few others, so what is compared is linear."""
+    monkeypatch.setattr(near_dup, "TILE_SETS", 4)
+    counts = []
+    for n in (150, 300):
+        rows = spark.range(n).select(
+            F.col("id").alias("sid"), F.col("id").cast("string").cast("binary").alias("set_key"), F.lit(1).cast("long").alias("size"), F.lit(100).cast("long").alias("n_grams"), F.col("id").alias("first_id"),
+            F.transform(F.sequence(F.lit(0), F.lit(23)), lambda k: ((F.col("id") + k % 3) / 3).cast("long") * 100 + k).alias("bands"), F.lit(0).cast("long").alias("root"))
+        counts.append(near_dup.tiles_of(rows, 24).count())
+    assert counts[1] <= 2.1 * counts[0] and counts[0] <= 150 * 24
+
+
+def test_generated_table_of_a_thousand_equals_all_pairs(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
     check(spark, rows)
 
 
