@@ -59,3 +59,46 @@ def running_total(df: DataFrame, key: str, order: tuple[str, ...], value: Column
     carry = df.groupBy(key, "_d").agg(F.sum("_v").alias("n")).select(key, "_d", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_c"))
     out = df.withColumn("_n", F.sum("_v").over(inside)).join(carry, [key, "_d"])
     return out.withColumn(name, F.col("_n") + F.col("_c")).drop("_d", "_v", "_n", "_c")
+
+
+def running_mean_before(df: DataFrame, key: str, order: tuple[str, ...], value: str, name: str) -> DataFrame:
+    """df with the mean of value over the earlier rows of each key; null for its first row."""
+    df = _day(df, order)
+    inside = Window.partitionBy(key, "_d").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    days = df.groupBy(key, "_d").agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    carry = days.select(key, "_d", F.coalesce(F.sum("s").over(before), zero).alias("_s"), F.coalesce(F.sum("n").over(before), zero).alias("_n"))
+    out = df.withColumns({"_a": F.coalesce(F.sum(value).over(inside), zero), "_b": F.coalesce(F.count(value).over(inside), zero)}).join(carry, [key, "_d"])
+    return out.withColumn(name, F.try_divide(F.col("_a") + F.col("_s"), F.col("_b") + F.col("_n"))).drop("_d", "_a", "_b", "_s", "_n")
+
+
+def with_neighbours(df: DataFrame, key: str, order: tuple[str, ...], value: str, back: int, ahead: int) -> DataFrame:
+    """df with _before and _after, arrays of structs (v) of the value in up to back rows before each row of its key, and ahead rows after it, in order; and _rank, its number from 1.
+
+    Rows are windowed within (key, day). A day's first and last few values, one row per key and
+    day, tell its neighbours what they lack: every day has a row, so that so many days are enough.
+    """
+    df = _day(df, order).withColumn("_v", F.struct(F.col(value).alias("v")))
+    none = F.array().cast(f"array<{df.schema['_v'].dataType.simpleString()}>")
+    day = Window.partitionBy(key, "_d").orderBy(*order)
+    lists = {
+        "_before": F.collect_list("_v").over(day.rowsBetween(-back, -1)) if back else none,
+        "_after": F.collect_list("_v").over(day.rowsBetween(1, ahead)) if ahead else none,
+        "_rank": F.row_number().over(day).cast("long"),
+    }
+    df = df.withColumns(lists)
+    most = max(back, ahead, 1)
+    back_rank = F.row_number().over(Window.partitionBy(key, "_d").orderBy(*(F.desc(c) for c in order)))
+    edge = F.struct(*order, "_v")
+    ends = df.withColumn("_back", back_rank).groupBy(key, "_d").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_rank") <= most, edge))).alias("head"), F.sort_array(F.collect_list(F.when(F.col("_back") <= most, edge))).alias("tail"), F.count("*").alias("n"))
+    days = Window.partitionBy(key).orderBy("_d")
+    plain = lambda c: F.transform(F.flatten(c), lambda x: x["_v"])
+    carry = ends.select(
+        key, "_d", plain(F.collect_list("tail").over(days.rowsBetween(-most, -1))).alias("_prior"), plain(F.collect_list("head").over(days.rowsBetween(1, most))).alias("_next"),
+        F.coalesce(F.sum("n").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_done"))
+    out = df.join(carry, [key, "_d"])
+    lack, short = back - F.size("_before"), ahead - F.size("_after")
+    prior = F.slice("_prior", F.greatest(F.lit(1), F.size("_prior") - lack + 1), F.greatest(F.lit(0), lack))
+    return out.withColumns({"_before": F.concat(prior, "_before"), "_after": F.concat("_after", F.slice("_next", 1, F.greatest(F.lit(0), short))), "_rank": F.col("_rank") + F.col("_done")}).drop("_d", "_v", "_prior", "_next", "_done")

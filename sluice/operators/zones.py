@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.operators import folds
+
 
 def normalized_difference(a: Column, b: Column) -> Column:
     """(a - b) / (a + b), null where the sum is 0: NDVI of near infrared and red, NDRE of near infrared and red edge."""
@@ -42,10 +44,36 @@ def zones_by_share(df: DataFrame, value: str, width: float, shares: dict[str, fl
     return binned.join(share, "_bin").withColumn("zone", zone).drop("_bin", "share")
 
 
-def gaps(df: DataFrame, row: str, position: str, limit: float) -> DataFrame:
-    """Stretches between neighbours of a row that are longer than limit: where, and how long."""
-    nxt = F.lead(position).over(Window.partitionBy(row).orderBy(position))
-    return df.withColumn("gap", nxt - F.col(position)).where(F.col("gap") > limit)
+def gaps(df: DataFrame, row: str, order: tuple[str, ...], position: str, limit: float) -> DataFrame:
+    """Stretches between neighbours of a row that are longer than limit: where, and how long. order starts with a time, by whose days a row is divided."""
+    near = folds.with_neighbours(df, row, order, position, 0, 1)
+    return near.withColumn("gap", F.get("_after", F.lit(0))["v"] - F.col(position)).where(F.col("gap") > limit).drop("_before", "_after", "_rank")
+
+
+def nearby(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+    """Pairs of points (x, y) and others (ox, oy) at most radius apart, with their distance: an equi-join on cells of that width, each of the others standing in nine."""
+    cell = lambda c: F.floor(F.col(c) / radius)
+    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    spread = others.withColumn("_dx", near).withColumn("_dy", near).withColumns({"_cx": cell("ox") + F.col("_dx"), "_cy": cell("oy") + F.col("_dy")}).drop("_dx", "_dy")
+    distance = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
+    return points.withColumns({"_cx": cell("x"), "_cy": cell("y")}).join(spread, ["_cx", "_cy"]).withColumn("distance", distance).where(F.col("distance") <= radius).drop("_cx", "_cy")
+
+
+def within_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+    """Pairs of points (x, y) and boxes (x0, y0, x1, y1; lower edges belong to them): an equi-join on cells, a box standing in each that it meets."""
+    edge = lambda c: F.floor(F.col(c) / cell)
+    spread = boxes.withColumn("_cx", F.explode(F.sequence(edge("x0"), edge("x1")))).withColumn("_cy", F.explode(F.sequence(edge("y0"), edge("y1"))))
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
+    return points.withColumns({"_cx": edge("x"), "_cy": edge("y")}).join(spread, ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
+
+
+def take_until(df: DataFrame, value: str, cost: str, tie: str, budget: int, width: int) -> DataFrame:
+    """The rows of highest value whose costs together stay within a budget: running sums of bins of the value, then within the bins."""
+    binned = df.withColumn("_bin", F.floor(F.col(value) / width))
+    before = Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    start = binned.groupBy("_bin").agg(F.sum(cost).alias("c")).select("_bin", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_start")).where(F.col("_start") <= budget)
+    inside = Window.partitionBy("_bin").orderBy(F.desc(value), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return binned.join(start, "_bin").withColumn("spent", F.sum(cost).over(inside) + F.col("_start")).where(F.col("spent") <= budget).drop("_bin", "_start")
 
 
 def polygon_area(xs: Column, ys: Column) -> Column:

@@ -33,8 +33,8 @@ def trend(spark, sf_dir):
 @query("p05_drop_alert", "SELECT event_id FROM (SELECT event_id, value, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) WHERE value < 0.2 * m", "P")
 def drop_alert(spark, sf_dir):
     """Values that fall far below the average of the same series so far."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return load(spark, sf_dir, "events").withColumn("m", F.avg("value").over(w)).where("value < 0.2 * m").select("event_id")
+    rows = load(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    return folds.running_mean_before(rows, "user_id", ("ts", "event_id"), "value", "m").where("value < 0.2 * m").select("event_id")
 
 
 @query("p06_inspection_points", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events WHERE value > 20) WHERE rn <= 3", "P")
@@ -70,8 +70,8 @@ def stage_interpretation(spark, sf_dir):
 @query("p22_gaps", "SELECT user_id, ts, gap FROM (SELECT user_id, ts, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS gap FROM events) WHERE gap > 172800000000", "P")
 def gap_report(spark, sf_dir):
     """Stretches of a row without anything for more than two days."""
-    rows = load(spark, sf_dir, "events").select("user_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return zones.gaps(rows, "user_id", "at", 172_800_000_000).select("user_id", "ts", "gap")
+    rows = load(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return zones.gaps(rows, "user_id", ("ts", "event_id"), "at", 172_800_000_000).select("user_id", "ts", "gap")
 
 
 @query("p30_best_scenario", "SELECT l_returnflag, arg_max(l_linestatus, t) AS best FROM (SELECT l_returnflag, l_linestatus, sum(l_extendedprice) AS t FROM lineitem GROUP BY 1, 2) GROUP BY 1", "P")
