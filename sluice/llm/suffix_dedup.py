@@ -408,7 +408,7 @@ def _split(rows: DataFrame, length: int, slack: int, known: int) -> tuple[DataFr
         key = F.xxhash64("key", F.lit(low), F.substring(F.col("bytes"), ap - before + 1, F.lit(before)), F.substring(F.col("bytes"), ap + known + 1, F.lit(behind)))
         parts.append(F.when(count > 0, F.struct(
             key.alias("key"), (ap - before - first).cast("int").alias("ap"), count.cast("int").alias("n"), (F.col("pos") + first).alias("pos"), F.substring(F.col("bytes"), first + 1, count + length).alias("bytes"))))
-    split = rows.select("digest", "len", "last_ok", "twin", "crossed", F.explode(F.array(*parts)).alias("part")).where("part IS NOT NULL")
+    split = rows.select("digest", "len", "last_ok", "twin", "crossed", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("part"))
     return split.select("digest", "part.*", "len", "last_ok", F.col("twin").alias("twice"), "crossed", F.substring(F.unhex(F.sha2("part.bytes", 256)), 1, 16).alias("content")), step - 1
 
 
