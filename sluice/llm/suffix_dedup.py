@@ -385,7 +385,7 @@ def _distinct(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataF
     own = F.struct("digest", "pos", "len", "last_ok")
     alike = rows.groupBy(*SAME).agg(F.min(own).alias("own"), F.max(own).alias("last"), F.max("twice").alias("twice"), F.max("crossed").alias("crossed"), F.first("bytes").alias("bytes"))
     alike = alike.select(*SAME, "own.*", "bytes", (F.col("twice") | (F.col("own") != F.col("last"))).alias("twin"), (F.col("crossed") | (F.col("own.digest") != F.col("last.digest"))).alias("crossed"))
-    alike = materialise(alike, "stretches")
+    alike = materialise(alike, "stretches", "zstd")
     twins = alike.where("twin").select(*SAME, F.col("crossed").alias("all_crossed"))
     known = _known(rows.select(*SAME, "digest", "pos", "len", "last_ok").join(twins, SAME), length, F.col("all_crossed"))
     return alike, materialise(alike.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "keys"), known
@@ -445,8 +445,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     copies = materialise(source.where(long_).groupBy("digest").agg(F.count("*").alias("size"), F.min("doc_id").alias("first_id")), "texts")
     found = materialise(source.where(long_).select("text", "digest", *halves).mapInArrow(_anchor_task(least, anchor), "d1 long, d2 long, hash long, n long"), "anchors")
     # Hashes that two texts have, or one text twice.
-    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("d1", "d2")]
-    common = found.groupBy("hash").agg(*ends, F.max("n").alias("n")).where("min_d1 != max_d1 OR min_d2 != max_d2 OR n > 1").select("hash")
+    common = found.groupBy("hash").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.max("n").alias("n")).where("lo != hi OR n > 1").select("hash")
     common = materialise(common, "shared")
     marked = found.select("d1", "d2", "hash").join(common, "hash")
     cands = marked.groupBy("d1", "d2").agg(F.collect_set("hash").alias("cands")).join(copies.select("*", *halves), ["d1", "d2"])
@@ -455,7 +454,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     # The texts that have candidates, one row of each.
     side = F.broadcast(cands) if _small(cands, BROADCAST_TEXTS, F.size("cands")) else cands
     chosen = source.where(long_).join(side.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("text", "digest", "cands")
-    segments = materialise(chosen.mapInArrow(_segment_task(length, least, anchor, words), SEGMENT), "segments")
+    segments = materialise(chosen.mapInArrow(_segment_task(length, least, anchor, words), SEGMENT), "segments", "zstd")
 
     rows, slack = segments.where("content IS NOT NULL"), least - anchor
     ranges = _known(segments.where("content IS NULL"), length, F.col("crossed"))
@@ -478,7 +477,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
             ranges = ranges.unionByName(hit.select("digest", F.when(F.col("kind") == 0, F.col("pos")).alias("a"), F.when(F.col("kind") == 0, F.col("pos") + length).alias("b"), (F.col("kind") == 1).alias("passage")))
             break
         rows, slack = _split(many, length, slack, least - slack)
-        rows = materialise(rows, "parts")
+        rows = materialise(rows, "parts", "zstd")
     total = sorted_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_buckets = max(1, -(-int(total) // BUCKET_STARTS))
     bucketed = sorted_.select(F.pmod("key", F.lit(n_buckets)).alias("bucket"), "n", "bytes", "digest", "pos", "twin")
