@@ -82,3 +82,10 @@ def polygon_area(xs: Column, ys: Column) -> Column:
     turn_x = F.concat(F.slice(xs, 2, F.size(xs)), F.slice(xs, 1, 1))
     products = F.zip_with(F.zip_with(xs, turn, lambda a, b: a * b), F.zip_with(turn_x, ys, lambda a, b: a * b), lambda a, b: a - b)
     return F.abs(F.aggregate(products, F.lit(0.0), lambda s, x: s + x)) / 2
+
+
+def polygon_perimeter(xs: Column, ys: Column) -> Column:
+    """Length of the closed line through vertices in order."""
+    ahead = lambda c: F.concat(F.slice(c, 2, F.size(c)), F.slice(c, 1, 1))
+    steps = F.zip_with(F.zip_with(xs, ahead(xs), lambda a, b: (a - b) * (a - b)), F.zip_with(ys, ahead(ys), lambda a, b: (a - b) * (a - b)), lambda a, b: F.sqrt(a + b))
+    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)

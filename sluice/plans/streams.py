@@ -73,3 +73,18 @@ def stream_daily_mean(spark, sf_dir):
     """Daily means, continuously."""
     agg = _events(spark, sf_dir).groupBy(F.window("ts", "1 day")).agg(F.avg("value").alias("m"))
     return bounded.run(agg, "complete").select(_plain(F.col("window.start")).alias("day"), F.round("m", 6).alias("mean"))
+
+
+@query("stream_late_rows", """WITH m AS (SELECT max(ts) - INTERVAL 5 DAY AS mark FROM events WHERE event_id % 2 = 0),
+k AS (SELECT date_trunc('day', ts) AS day FROM events, m WHERE event_id % 2 = 0 OR date_trunc('day', ts) + INTERVAL 1 DAY > mark)
+SELECT day, count(*) AS n FROM k GROUP BY 1""")
+def stream_late_rows(spark, sf_dir):
+    """Daily counts of two deliveries: of the second, days that ended before the watermark of the first are too late, and are dropped."""
+    root = bounded.new_root(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{root}/in")
+        arrived = spark.readStream.schema(events.schema).parquet(f"{root}/in").withWatermark("ts", "5 days")
+        counts = bounded.run(arrived.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n")), "update", root)
+    # Of each day the last update, which is the largest.
+    return counts.groupBy(_plain(F.col("window.start")).alias("day")).agg(F.max("n").alias("n"))

@@ -1,0 +1,49 @@
+"""A data source of our own: a regular time series, made where it is read."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class _Part(InputPartition):
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, rows: int, parts: int, step: int):
+        self.rows, self.parts, self.step = rows, parts, step
+
+    def partitions(self) -> list[_Part]:
+        edges = [self.rows * i // self.parts for i in range(self.parts + 1)]
+        return [_Part(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        for a in range(partition.low, partition.high, 65_536):
+            n = np.arange(a, min(a + 65_536, partition.high))
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(n * self.step), pa.array((n * 7919 % 1000) / 10.0)], ["n", "at", "value"])
+
+
+class SeriesSource(DataSource):
+    """format("series"): n, at (seconds, step apart) and value of so many rows, in so many partitions."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "series"
+
+    def schema(self) -> str:
+        return "n long, at long, value double"
+
+    def reader(self, schema) -> _Reader:
+        return _Reader(int(self.options.get("rows", "1000")), int(self.options.get("parts", "8")), int(self.options.get("step", "60")))
+
+
+def series(spark: SparkSession, rows: int, parts: int = 8, step: int = 60):
+    """The source as a DataFrame."""
+    spark.dataSource.register(SeriesSource)
+    return spark.read.format("series").options(rows=str(rows), parts=str(parts), step=str(step)).load()

@@ -39,3 +39,22 @@ def partitioned(df: DataFrame, *by: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/sluice/by-{uuid.uuid4().hex}"
     df.repartition(*by).write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def catalogue_table(df: DataFrame, *more: DataFrame) -> DataFrame:
+    """df created as a table of the catalogue, other frames appended to it, and the table read back; its files are in the shared folder."""
+    spark, name = df.sparkSession, f"sluice_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}) USING parquet LOCATION '{shared_dir(spark)}/sluice/{name}'")
+    for part in (df, *more):
+        part.write.insertInto(name)
+    got = spark.table(name)
+    got.schema  # noqa: B018  resolved now: dropping an external table leaves its files
+    spark.sql(f"DROP TABLE {name}")
+    return got
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old with the rows of new in place of those of the same key, and its other rows added; one join, whatever changes."""
+    row = lambda df, name: df.select(F.col(key).alias(f"_{name}"), F.struct(*df.columns).alias(name))
+    both = row(old, "old").join(row(new, "new"), F.col("_old") == F.col("_new"), "full")
+    return both.select(F.coalesce("new", "old").alias("r")).select("r.*")

@@ -18,15 +18,22 @@ def stream(spark: SparkSession, sf_dir: str, name: str, time: str | None = None)
     return got if time is None else got.withColumn(time, F.col(time).cast("timestamp"))
 
 
-def run(df: DataFrame, mode: str) -> DataFrame:
+def new_root(spark: SparkSession) -> str:
+    """A folder for the state and the output of one query."""
+    return f"{shared_dir(spark)}/sluice/stream-{uuid.uuid4().hex}"
+
+
+def run(df: DataFrame, mode: str, root: str | None = None) -> DataFrame:
     """Run a streaming query over all available input, and return its result table.
 
+    A second run with the same root goes on where the first one ended.
+
     In complete mode each batch replaces the table; in append and update mode
     it adds to it. Every batch is written under its own number, so a
     batch that is run again replaces itself.
     """
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/sluice/stream-{uuid.uuid4().hex}"
+    root = root or new_root(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         to = f"{root}/out/batch=0" if mode == "complete" else f"{root}/out/batch={number}"

@@ -78,3 +78,41 @@ def test_state_lasts_over_batches(spark, tmp_path):
     src = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     out = folds.latest_per_key(bounded.run(stateful.open_state(src, "toggle", "reset"), "update"), "user_id", "seen")
     assert {r.user_id: (r.seen, r.is_open) for r in out.collect()} == {7: (3, True), 8: (2, False)}
+
+
+def test_neighbours_equal_a_loop(spark):
+    rows = [r for r in events(500, 11) if r[1] is not None]
+    series = {}
+    for i, u, t, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        series.setdefault(u, []).append((i, v))
+    want = {}
+    for own in series.values():
+        for k, (i, _) in enumerate(own):
+            want[i] = ([v for _, v in own[max(0, k - 3) : k]], [v for _, v in own[k + 1 : k + 3]], k + 1)
+    out = folds.with_neighbours(frame(spark, rows), "user_id", ("ts", "event_id"), "value", 3, 2)
+    assert {r.event_id: ([x.v for x in r._before], [x.v for x in r._after], r._rank) for r in out.collect()} == want
+    mean = folds.running_mean_before(frame(spark, rows), "user_id", ("ts", "event_id"), "value", "m")
+    assert all((r.m is None) == (want[r.event_id][2] == 1) for r in mean.collect())
+
+
+def test_spatial_joins_equal_all_pairs(spark):
+    rng = random.Random(4)
+    places = [(i, rng.uniform(-20, 20), rng.uniform(-20, 20)) for i in range(120)]
+    boxes = [(i, x, y, x + rng.uniform(1, 12), y + rng.uniform(1, 12)) for i, x, y in places[:30]]
+    p = spark.createDataFrame(places, "k long, x double, y double")
+    got = zones.within_boxes(p, spark.createDataFrame(boxes, "b long, x0 double, y0 double, x1 double, y1 double"), 5.0)
+    assert sorted((r.k, r.b) for r in got.collect()) == sorted((k, b) for k, x, y in places for b, x0, y0, x1, y1 in boxes if x0 <= x < x1 and y0 <= y < y1)
+    near = zones.nearby(p, p.toDF("o", "ox", "oy"), 4.0)
+    assert sorted((r.k, r.o) for r in near.collect()) == sorted((a, b) for a, x, y in places for b, u, v in places if (x - u) ** 2 + (y - v) ** 2 <= 16)
+
+
+def test_budget_is_spent_on_the_best(spark):
+    rng = random.Random(8)
+    rows = [(i, float(rng.randint(0, 60)), rng.randint(1, 9)) for i in range(200)]
+    want, spent = set(), 0
+    for i, _, c in sorted(rows, key=lambda r: (-r[1], r[0])):
+        spent += c
+        if spent <= 333:
+            want.add((i, spent))
+    got = zones.take_until(spark.createDataFrame(rows, "k long, v double, c long"), "v", "c", "k", 333, 7)
+    assert {(r.k, r.spent) for r in got.collect()} == want
