@@ -18,6 +18,21 @@ def strings(spark, sf_dir):
         F.sha2(n, 256).alias("sha"), F.md5("p_brand").alias("md5"), F.regexp_extract("p_brand", "([0-9]+)", 1).alias("num"), F.trim(F.concat(F.lit("  "), "p_type", F.lit(" "))).alias("trimmed"), F.startswith(n, F.lit("red")).alias("red"))
 
 
+@query("strings_title", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: concat(upper(x[1]), lower(x[2:]))), ' ') AS title FROM part")
+def strings_title(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", F.initcap("p_name").alias("title"))
+
+
+@query("intervals", """SELECT o_orderkey, date_diff('month', DATE '1995-01-01', date_trunc('month', CAST(o_orderdate AS DATE))) AS months, o_orderdate + INTERVAL 1 DAY + INTERVAL 2 HOUR AS due, CAST(round(o_totalprice / 1000) * 1000 AS BIGINT) AS about,
+CAST(CASE WHEN (o_orderkey + 5) % 20 = 10 THEN (floor((o_orderkey + 5) / 20) + floor((o_orderkey + 5) / 20) % 2) * 20 ELSE floor((o_orderkey + 15) / 20) * 20 END AS BIGINT) AS even FROM orders""")
+def intervals(spark, sf_dir):
+    """Months between dates, intervals made from numbers, and rounding to twenties, half to even."""
+    due = F.col("o_orderdate") + F.make_dt_interval(F.lit(1), F.lit(2))
+    even = F.bround((F.col("o_orderkey") + 5) / 20, 0) * 20
+    months = F.months_between(F.date_trunc("month", "o_orderdate"), F.lit("1995-01-01").cast("timestamp"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", months.cast("long").alias("months"), due.alias("due"), (F.round(F.col("o_totalprice") / 1000) * 1000).cast("long").alias("about"), even.cast("long").alias("even"))
+
+
 @query("strings_spark")
 def strings_spark(spark, sf_dir):
     """String functions that DuckDB lacks or defines otherwise."""

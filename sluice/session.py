@@ -58,3 +58,10 @@ def shared_dir(spark: SparkSession) -> str:
     path = f"file://{tempfile.mkdtemp(prefix='sluice-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     sc.setCheckpointDir(path)
     return path
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete what queries have written for themselves in the shared folder; to be called when their results have been used. Whether there was any."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sluice")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

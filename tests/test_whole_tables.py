@@ -37,3 +37,8 @@ def test_no_customer_is_left_out(spark, duck):
     assert ENTRIES["union_by_name_whole"].run(spark, DATA).count() == count("SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)")
     lateral = ENTRIES["join_lateral_whole"].run(spark, DATA).select("c_custkey").distinct().count()
     assert lateral == count("SELECT count(DISTINCT o_custkey) FROM orders JOIN customer ON c_custkey = o_custkey")
+
+
+def test_both_names_give_the_whole(spark):
+    for name in ("sort_nulls", "union_by_name", "join_lateral"):
+        assert ENTRIES[name].run is ENTRIES[f"{name}_whole"].run and ENTRIES[name].sql == ENTRIES[f"{name}_whole"].sql
