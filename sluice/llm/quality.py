@@ -9,9 +9,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import held_out, table
+from .common import held_out, materialise, table
 
 EMBED = 8
 #: A chunk is so many blocks of so many bytes; chunks start at every block.
@@ -20,6 +21,8 @@ BLOCKS = 4
 FILTERS = 32
 #: Labelled documents of each class that are learned from, at about.
 PER_CLASS = 3000
+#: Bytes of text that the one training task holds at most; labelled documents beyond, in the order of a hash of their ids, are not trained on.
+SAMPLE_BYTES = 256 << 20
 EPOCHS = 12
 #: A small sample is gone through more often, to make so many steps.
 MIN_STEPS = 500
@@ -148,11 +151,20 @@ def _fit_task(prior: float):
     return run
 
 
+def within_bytes(sample: DataFrame, limit: int) -> DataFrame:
+    """Rows (doc_id, label, text) of a sample bounded in rows, whose texts together have at most limit bytes: the first by a hash of the id."""
+    if (sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= limit:
+        return sample
+    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id")
+    sizes = sample.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size")).withColumn("upto", F.sum("size").over(order))
+    return sample.join(F.broadcast(sizes.where(F.col("upto") <= limit).select("doc_id")), "doc_id", "left_semi")
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, text_col: str = "text") -> dict | None:
     """A network from about per_class labelled documents of each class, chosen by a hash of the id; None without labels.
 
     Rows without label are not used; a document labelled twice counts twice. The sample
-    is bounded, so one task trains on it.
+    is bounded in documents and by SAMPLE_BYTES, so one task trains on it.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -161,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_cl
     share = F.coalesce(*(F.when(F.col("label") == c, F.lit(min(1.0, per_class / n))) for c, n in counts.items()))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     texts = docs.select("doc_id", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").groupBy(F.lit(0).alias("one"))
+    chosen = materialise(texts.join(F.broadcast(sample), "doc_id"), "labelled")
+    rows = within_bytes(chosen, SAMPLE_BYTES).groupBy(F.lit(0).alias("one"))
     got = rows.applyInPandas(_fit_task(counts.get(1, 0) / sum(counts.values())), "net binary").collect()
     return pickle.loads(got[0]["net"]) if got else None
 

@@ -54,6 +54,14 @@ def test_language_of_held_out_documents(spark):
     assert len(rows) == 1000 and np.mean(held) > 0.98
 
 
+def test_sample_is_bounded_in_bytes(spark):
+    sample = spark.createDataFrame([(i, i % 2, "x" * (10 * i)) for i in range(40)], "doc_id long, label int, text string")
+    assert quality.within_bytes(sample, 10_000).count() == 40
+    got = quality.within_bytes(sample, 3000).collect()
+    size = sum(len(r.text) for r in got)
+    assert 3000 - 390 < size <= 3000 and got == quality.within_bytes(sample, 3000).collect()
+
+
 def test_network_scores_alone_as_together():
     rng = random.Random(1)
     texts = [b"", b"x", b"abc" * 7, bytes(rng.randrange(256) for _ in range(5000)), "é日本".encode() * 100, b"y" * 300_000, b"last"]
