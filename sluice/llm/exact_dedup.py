@@ -38,6 +38,11 @@ def tree_merge(rows: DataFrame, keep: str = "smallest", fan_in: int = FAN_IN) ->
     before it moves, so a text that fills a third of the corpus sends one row
     per run. All levels are hash exchanges on (run, digest): no task holds a
     whole run, let alone the root.
+
+    Spark does the merging: the entries of a level arrive sorted by (run, digest), as its
+    sort aggregate wants them, and that aggregate goes through the sorted runs once. A
+    fan-in of eight needs a third of a binary tree's rounds, and each round exchanges
+    all distinct digests.
     """
     best = F.min if keep == "smallest" else F.max
     # Rows with an id win over rows without, then the id decides, then the row.
