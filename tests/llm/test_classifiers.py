@@ -149,6 +149,42 @@ def test_calibration_rises():
     assert all(a <= b + 1e-12 for a, b in zip(s, s[1:])) and 0 <= s[0] <= s[-1] <= 1
 
 
+def plain_decision(model, x):
+    """Language and score of one vector, classifier by classifier."""
+
+    def sure(task):
+        w, b, s = model["svm"][task]
+        return 1 / (1 + np.exp(-min(30.0, max(-30.0, (float(x @ w) + b) * s))))
+
+    families = model["families"]
+    share = {f: sure(f"family:{f}") if len(families) > 1 else 1.0 for f in families}
+    total = sum(share.values())
+    best = max(families, key=lambda f: share[f])
+    own = families[best]
+    wins, odds = dict.fromkeys(own, 0), dict.fromkeys(own, 0.0)
+    for i, a in enumerate(own):
+        for b in own[i + 1 :]:
+            q = sure(f"pair:{a}:{b}")
+            wins[a if q > 0.5 else b] += 1
+            odds[a] += q
+            odds[b] += 1 - q
+    pick = max(own, key=lambda c: wins[c] + odds[c] / len(own))
+    return pick, share[best] / total * (odds[pick] / (len(own) - 1) if len(own) > 1 else 1)
+
+
+@pytest.mark.parametrize("families", [{"a": ["x"]}, {"a": ["x", "y", "z"]}, {"a": ["x", "y", "z"], "b": ["u"], "c": ["v", "w"]}])
+def test_decision_equals_a_plain_loop(families):
+    rng = np.random.default_rng(3)
+    tasks = [f"family:{f}" for f in families] if len(families) > 1 else []
+    tasks += [f"pair:{a}:{b}" for own in families.values() for i, a in enumerate(own) for b in own[i + 1 :]]
+    model = {"langs": sorted(sum(families.values(), [])), "families": families, "svm": {k: (rng.normal(size=16).astype(np.float32), float(rng.normal()), 1.5) for k in tasks}}
+    x = rng.normal(size=(60, 16)).astype(np.float32)
+    langs, scores = langid.decide(model, x)
+    for k in range(60):
+        lang, score = plain_decision(model, x[k])
+        assert langs[k] == lang and abs(scores[k] - score) < 1e-4
+
+
 def test_svm_separates_and_uses_both_classes():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 10)).astype(np.float32)
