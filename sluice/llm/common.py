@@ -30,6 +30,20 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_bucketed(df: DataFrame, name: str, column: str, n: int, codec: str = "snappy") -> DataFrame:
+    """Write df in n buckets by a column and read it back, so that a join with rows dealt to n partitions by that column moves none of it.
+
+    Where a task holds one value of the column, it writes one file.
+    """
+    spark = df.sparkSession
+    called = f"sluice_{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", codec).option("path", f"{shared_dir(spark)}/sluice/{called}").bucketBy(n, column).saveAsTable(called)
+    got = spark.table(called)
+    got.schema  # noqa: B018  resolved now: only the catalogue's entry goes, not the files
+    spark.sql(f"DROP TABLE {called}")
+    return got
+
+
 def columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; others, whatever they are called, can't clash."""
     return docs.select(*(F.col(f"`{n}`") for n in names))

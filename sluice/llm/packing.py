@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, materialise_bucketed, table
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -63,20 +63,19 @@ def _cutter(path: str, capacity: int, separator: int):
     """Arrow task: the pieces of each document with their token ids."""
 
     def run(batches):
+        end_mark = int(separator).to_bytes(4, "little")
         for b in batches:
             ids_col, texts = b.column("doc_id"), b.column("text")
             rows: list[tuple] = []
             size = 0
-            for k in range(b.num_rows):
-                ids = np.append(encode(path, texts[k].as_py() or ""), np.uint32(separator))
-                first = len(ids) % capacity or min(len(ids), capacity)
-                start, piece = 0, 0
-                while start < len(ids):
-                    end = first if not piece else start + capacity
-                    raw = ids[start:end].astype("<u4").tobytes()
-                    rows.append((ids_col[k].as_py(), piece, start, end - start, raw))
-                    size += len(raw)
-                    start, piece = end, piece + 1
+            for doc_id, text in zip(ids_col.to_pylist(), texts.to_pylist(), strict=True):
+                raw = encode(path, text or "").astype("<u4", copy=False).tobytes() + end_mark
+                n = len(raw) // 4
+                start, end, piece = 0, n % capacity or min(n, capacity), 0
+                while start < n:
+                    rows.append((doc_id, piece, start, end - start, raw if end - start == n else raw[4 * start : 4 * end]))
+                    start, end, piece = end, end + capacity, piece + 1
+                size += len(raw)
                 if size > 8 << 20:
                     yield _piece_batch(rows, ids_col.type)
                     rows, size = [], 0
@@ -283,16 +282,19 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
     documents like others; extra columns are ignored; an empty table gives an
     empty result.
 
-    Packing sees only (pid, length). Token ids are written once and move in one
-    exchange, when they meet the finished plan; a caller that doesn't select them moves
-    none. Loose bins of all blocks are pooled and packed again, in ever fewer
-    blocks, so what blocks waste doesn't grow with their number.
+    Packing sees only (pid, length). Token ids are written once, in buckets by the task that
+    made them, and stay there: the finished plan, a few numbers for each piece, is dealt
+    to these buckets and joined in place. Loose bins of all blocks are pooled and packed again, in
+    ever fewer blocks, so what blocks waste doesn't grow with their number.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     pieces = source.mapInArrow(_cutter(tokenizer, capacity, separator), f"doc_id {kind}, piece int, start long, length long, ids binary")
-    pieces = materialise(pieces.withColumn("pid", F.monotonically_increasing_id()), "pieces", "zstd")
+    # The upper bits of a generated id are the number of its task.
+    pieces = pieces.withColumn("pid", F.monotonically_increasing_id()).withColumn("part", F.shiftright("pid", 33))
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = materialise_bucketed(pieces, "pieces", "part", n_parts, "zstd")
     loose = pieces.where(F.col("length") < capacity).select("pid", "length")
     left, plans, level = loose.count(), [], 0
     while left:
@@ -311,13 +313,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
     plan = None
     for p in plans:
         plan = p if plan is None else plan.unionByName(p)
-    # The checksum is taken below the join, so a caller that needs no ids moves none.
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))
     names = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"]
     if plan is None:
         return pieces.select(*names, (F.col("pid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    # Merged at every size: a plan that is broadcast only while it is small makes small inputs look cheaper than they are.
-    return pieces.join(plan.hint("merge"), "pid", "left").select(
+    # The pieces' buckets are by part alone, which both sides of this join have to be told to make do with.
+    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    plan = plan.withColumn("part", F.shiftright("pid", 33))
+    return pieces.join(plan.hint("shuffle_hash"), ["part", "pid"], "left").select(
         *names,
         F.coalesce("sequence_id", F.col("pid") * 2 + 1).alias("sequence_id"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))
 

@@ -84,3 +84,57 @@ def test_evolution_keeps_every_item_and_never_overfills(seed):
         assert sorted(i for own in b.items for i in own) == list(range(120))
         assert all(0 <= f == 1000 - sum(sizes[i] for i in own) for f, own in zip(b.free, b.items))
     assert len(best.items) <= len(first.items)
+
+
+def hard(seed, n=120):
+    """Sizes of a quarter to a half of 1000, where best fit misses what is possible: triples that fill a bin to the last place."""
+    rng = random.Random(seed)
+    sizes = []
+    for _ in range(n // 3):
+        a, b = rng.randint(260, 400), rng.randint(260, 340)
+        sizes += [a, b, 1000 - a - b]
+    return sizes
+
+
+def test_islands_lower_what_best_fit_needs(spark):
+    """On hard sizes the query's own islands end with fewer bins than best fit decreasing, by crossover and migration."""
+    saved = 0
+    for seed in range(3):
+        sizes = hard(seed)
+        plain = packing.Bins(sizes, 1000)
+        plain.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]))
+        items = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "pid long, length long")
+        got = packing.pack_block_items(items, 1000, 1).collect()
+        assert sorted(r.pid for r in got) == list(range(len(sizes)))
+        assert all(sum(r.length for r in got if r.bin == b) <= 1000 for b in {r.bin for r in got})
+        assert len({r.bin for r in got}) <= len(plain.items)
+        saved += len(plain.items) - len({r.bin for r in got})
+    assert saved > 0
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_tiny_inputs_reach_the_optimum(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(150, 600) for _ in range(9)]
+
+    def least(left, free, used):
+        """Fewest bins by trying every place for every item."""
+        if not left:
+            return used
+        best = used + len(left)
+        for k in range(len(free)):
+            if free[k] >= left[0] and free[k] not in free[:k]:
+                best = min(best, least(left[1:], [*free[:k], free[k] - left[0], *free[k + 1 :]], used))
+        if used + 1 < best:
+            best = min(best, least(left[1:], [*free, 1000 - left[0]], used + 1))
+        return best
+
+    assert len(packing.evolve(sizes, 1000, [], seed)[0].items) == least(sorted(sizes, reverse=True), [], 0)
+
+
+def test_ids_meet_the_plan_in_place(spark):
+    """Pieces lie in buckets by their task; only the plan is exchanged."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 50)) for i in range(400)], "doc_id long, text string").repartition(7)
+    plan = packing.pack(docs, PATH, 64)._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "FileScan" in x and "ids#" in x)
+    assert "Bucketed: true" in scan and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
