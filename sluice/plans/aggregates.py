@@ -72,6 +72,14 @@ def agg_sketches(spark, sf_dir):
         F.percentile_approx("l_extendedprice", 0.5, 10000).alias("median"), F.octet_length(F.count_min_sketch("l_partkey", F.lit(0.01), F.lit(0.95), F.lit(1))).alias("cms_bytes"))
 
 
+@query("agg_quantile_sketch")
+def agg_quantile_sketch(spark, sf_dir):
+    """Quantiles of all from mergeable sketches of days, each taken once."""
+    days = load(spark, sf_dir, "lineitem").groupBy("l_shipdate", "l_returnflag").agg(F.kll_sketch_agg_double("l_extendedprice").alias("sketch"))
+    merged = days.groupBy("l_returnflag").agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.select("l_returnflag", F.kll_sketch_get_n_double("sketch").alias("n"), F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)).alias("median"), F.kll_sketch_get_quantile_double("sketch", F.lit(0.9)).alias("p90"))
+
+
 @query("agg_grouping_sets", "SELECT o_orderstatus AS s, o_orderpriority AS p, grouping(o_orderstatus, o_orderpriority) AS g, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
 def agg_grouping_sets(spark, sf_dir):
     o = load(spark, sf_dir, "orders")

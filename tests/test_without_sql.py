@@ -40,6 +40,15 @@ def test_sketches_are_near_the_exact_figures(spark):
         assert abs(sum(p <= r.median for p in prices) / len(prices) - 0.5) < 0.01 and r.cms_bytes > 0
 
 
+def test_merged_quantile_sketches_are_near_the_exact_figures(spark):
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_returnflag", "l_extendedprice").collect()
+    for r in rows(spark, "agg_quantile_sketch"):
+        prices = [x.l_extendedprice for x in lines if x.l_returnflag == r.l_returnflag]
+        assert r.n == len(prices)
+        for found, share in ((r.median, 0.5), (r.p90, 0.9)):
+            assert abs(sum(p <= found for p in prices) / len(prices) - share) < 0.03
+
+
 def soundex(word):
     """The American code as Spark gives it."""
     codes = {c: d for d, own in {"1": "BFPV", "2": "CGJKQSXZ", "3": "DT", "4": "L", "5": "MN", "6": "R"}.items() for c in own}
