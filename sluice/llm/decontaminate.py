@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import pickle
 from collections.abc import Iterator
 
@@ -19,6 +18,8 @@ WINDOW = 10
 #: scanned in several blocks of this size, so that a task never holds more.
 BLOCK_BYTES = 8 << 20
 FILTER_BITS = 20
+#: Documents hit are broadcast up to this many where several blocks meet; beyond, they are joined by shuffle.
+BROADCAST_HITS = 1 << 17
 
 
 class WindowSet:
@@ -96,19 +97,18 @@ def scan(data: np.ndarray, offsets: np.ndarray, block: WindowSet) -> Iterator[tu
             yield int(counts[d]), sum(b - a for a, b in spans), [(int(starts[a] - off[d]), int(ends[b - 1] - off[d])) for a, b in spans], sorted({block.item_ids[x] for x in found})
 
 
-def blocks(benchmark: DataFrame, n: int, id_col: str, text_col: str, limit: int) -> Iterator[WindowSet]:
-    """Window sets of at most limit bytes of item text each (a longer item is one alone)."""
+def window_sets(benchmark: DataFrame, n: int, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """(block, windows): pickled window sets of limit bytes of item text at about, each built in a task of its own."""
     rows = columns(benchmark, id_col, text_col).where(F.col(f"`{text_col}`").isNotNull())
     rows = rows.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("i"), F.col(f"`{text_col}`").alias("t")).dropDuplicates()
-    held, size = [], 0
-    for i, t in rows.orderBy("i", "t").toLocalIterator():
-        raw = t.encode()
-        if held and size + len(raw) > limit:
-            yield WindowSet(held, n)
-            held, size = [], 0
-        held.append((i, raw))
-        size += len(raw)
-    yield WindowSet(held, n)
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-int(total) // limit))
+
+    def build(t: pa.Table) -> pa.Table:
+        items = sorted(zip(t.column("i").to_pylist(), t.column("t").to_pylist(), strict=True))
+        return pa.table({"block": t.column("block")[:1], "windows": pa.array([pickle.dumps(WindowSet([(i, x.encode()) for i, x in items], n))], pa.binary())})
+
+    return rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks))).groupBy("block").applyInArrow(build, "block long, windows binary")
 
 
 def _scanner(shared, names):
@@ -139,7 +139,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, carry:
     benchmark hits nothing.
 
     The window set is broadcast: at most block_bytes of item text at a time. A
-    larger benchmark takes one pass for each block, and the passes are united.
+    larger benchmark takes one pass for each block, which writes a narrow row for each
+    document that it hits; these are united and meet the documents once.
     """
     spark = docs.sparkSession
     source = docs.select(*(F.col(f"`{c}`") for c in carry), F.col(f"`{text_col}`").cast("string").alias("_scanned"))
@@ -147,43 +148,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, carry:
     kept = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema}
     names = list(carry)
     schema = ", ".join([*(kept[c] for c in names), found])
-    queue = blocks(benchmark, n, item_col, "text", block_bytes)
-    one, two = next(queue), next(queue, None)
-    if two is None:
-        return source.mapInArrow(_scanner(spark.sparkContext.broadcast(pickle.dumps(one)), names), schema)
+    blocks = materialise(window_sets(benchmark, n, item_col, "text", block_bytes), "windows")
+    queue = (r["windows"] for r in blocks.select("windows").toLocalIterator())
+    if blocks.count() <= 1:
+        one = next(queue, None) or pickle.dumps(WindowSet([], n))
+        return source.mapInArrow(_scanner(spark.sparkContext.broadcast(one), names), schema)
     # Several blocks: number the rows once, scan for each block, unite the hits.
     source = materialise(source.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    parts = []
-    for block in itertools.chain([one, two], queue):
-        run = _scanner(spark.sparkContext.broadcast(pickle.dumps(block)), [*names, "_row"])
-        parts.append(materialise(source.mapInArrow(run, ", ".join([*(kept[c] for c in names), "_row long", found])), "hits"))
-    every = parts[0].select("_row", *names, "n_words")
-    hits = parts[0].where("n_hit > 0").select("_row", "spans", "items")
-    for p in parts[1:]:
-        hits = hits.unionByName(p.where("n_hit > 0").select("_row", "spans", "items"))
-    merged = hits.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    united = F.expr("""aggregate(spans, cast(array() as array<struct<start: bigint, end: bigint>>), (acc, x) ->
-        CASE WHEN size(acc) > 0 AND x.start <= element_at(acc, -1).end
-             THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
-             ELSE concat(acc, array(x)) END)""")
-    joined = every.join(merged.withColumn("spans", united), "_row", "left").join(source.select("_row", "_scanned"), "_row")
-    return joined.mapInArrow(_count_words(names), schema)
+    hits = None
+    for block in queue:
+        part = source.select("_row", "_scanned").mapInArrow(_scanner(spark.sparkContext.broadcast(block), ["_row"]), f"_row long, {found}")
+        part = materialise(part.where("n_hit > 0").select("_row", "spans", "items"), "hits")
+        hits = part if hits is None else hits.unionByName(part)
+    merged = hits.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = materialise(merged, "united")
+    few = merged.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+    return source.join(F.broadcast(merged) if few else merged, "_row", "left").mapInArrow(_count_words(names), schema)
 
 
 def _count_words(names):
-    """n_hit of united spans, by counting the words that they cover."""
+    """n_words; and n_hit and spans from the spans of all blocks: the words that any of them covers, and their runs."""
 
     def run(batches):
         for b in batches:
             data, offsets = K.buffers(b.column("_scanned"))
-            hit = np.zeros(b.num_rows, np.int64)
+            n_words, hit, united = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)]
             spans = b.column("spans").to_pylist()
-            for i, s in enumerate(spans):
-                if s:
-                    starts, ends, _ = K.words(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
-                    hit[i] = sum(int(((starts >= x["start"]) & (ends <= x["end"])).sum()) for x in s)
+            for i, j in K.chunks(offsets):
+                starts, ends, first = K.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                n_words[i:j] = np.diff(first)
+                for k in range(i, j):
+                    if spans[k]:
+                        at, own = offsets[k] - offsets[i], slice(first[k - i], first[k - i + 1])
+                        begin, end = starts[own] - at, ends[own] - at
+                        covered = np.zeros(len(begin) + 2, bool)
+                        for x in spans[k]:
+                            covered[1 + np.searchsorted(begin, x["start"]) : 1 + np.searchsorted(end, x["end"], "right")] = True
+                        edges = np.flatnonzero(covered[1:] != covered[:-1]).reshape(-1, 2)
+                        hit[k] = covered.sum()
+                        united[k] = [{"start": int(begin[u]), "end": int(end[v - 1])} for u, v in edges.tolist()]
             span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            arrays = [b.column("n_words"), pa.array(hit), pa.array([s or [] for s in spans], span_type), pa.array([x or [] for x in b.column("items").to_pylist()], pa.list_(pa.string()))]
+            arrays = [pa.array(n_words), pa.array(hit), pa.array(united, span_type), pa.array([x or [] for x in b.column("items").to_pylist()], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), *arrays], [*names, "n_words", "n_hit", "spans", "items"])
 
     return run

@@ -75,3 +75,14 @@ def test_empty_tables(spark):
 
 def test_empty_item_list_hashes_as_empty_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_several_blocks_give_the_spans_of_one(spark):
+    """Windows that adjoin or overlap, of items in different blocks, make one span."""
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "none of them"), (3, None), (4, "x, " + " - ".join(words[5:35]) + "!"), (5, " ".join(words[:12]))], "doc_id long, text string")
+    items = [(i, " ".join(words[a:b])) for i, (a, b) in enumerate([(0, 10), (10, 20), (15, 27), (40, 50), (58, 60), (20, 30)])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda rows: sorted((r.doc_id, r.n_words, r.n_hit, tuple(map(tuple, r.spans)), tuple(r.items)) for r in rows)
+    one, many = (key(D.contamination(docs, bench, block_bytes=limit).collect()) for limit in (1 << 20, 40))
+    assert one == many and one[0][2] > 30
