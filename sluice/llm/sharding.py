@@ -17,8 +17,8 @@ SHARDS = 24
 TOLERANCE = 0.001
 #: Candidate keys that each splitter tries in a round.
 PROBES = 31
-#: Rows that a cell of a shard has at about; slots are numbered within cells.
-CELL_ROWS = 50_000
+#: Bytes that a cell of a shard has at about; slots are numbered within cells.
+CELL_BYTES = 4 << 20
 #: A group of equal texts stays whole up to this share of a shard, or up to the size of the largest row.
 GROUP_TOLERANCE = 0.02
 #: Cells that are divided further are broadcast up to this many; beyond, they are joined by shuffle.
@@ -54,7 +54,7 @@ def _pair(key: int) -> tuple[int, int]:
 
 
 def find_splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE, group_tolerance: float = GROUP_TOLERANCE) -> tuple[list[tuple[int, int]], int, bool]:
-    """n_shards - 1 keys that divide the bytes evenly, the number of rows, and whether equal keys would have to be cut.
+    """n_shards - 1 keys that divide the bytes evenly, the bytes of all, and whether equal keys would have to be cut.
 
     Each splitter has a bracket, the exact bytes below its ends, and the rows
     inside. A round sends PROBES keys for each open bracket to all partitions,
@@ -102,7 +102,7 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE,
                 stuck |= group > whole
         open_ = still
     ends = [lo if t - lo[1] <= hi[1] - t else hi for (lo, hi), t in zip(brackets, targets, strict=True)]
-    return [_pair(min(m[0], ONE * ONE - 1)) for m in ends], n_rows, stuck
+    return [_pair(min(m[0], ONE * ONE - 1)) for m in ends], total, stuck
 
 
 def shard(docs: DataFrame, n_shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,8 +118,8 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, tolerance: float = TOLERANCE,
     replace input columns of the same names.
 
     Slots need no shard in one task: each shard is divided into cells of the key's
-    leading bits, of CELL_ROWS rows at about. A cell with more, as a hot text has, is
-    divided by bits of the second hash, as many as its count demands. Cells are counted on the
+    leading bits, of CELL_BYTES at about. A cell with more, as a hot text has, is
+    divided by bits of the second hash, as many as its bytes demand. Cells are counted on the
     narrow keys, and the running count of a cell is added to the row number within it. The
     texts move in one exchange.
     """
@@ -129,21 +129,21 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, tolerance: float = TOLERANCE,
     rows = rows.withColumn("_t", F.xxhash64(F.col(f"`{id_col}`"), F.col("_h")))
     narrow = [F.col("_h").alias("h"), F.col("_t").alias("t"), "size"]
     keys = materialise(rows.select(*narrow), "shard-keys")
-    splitters, n_rows, stuck = find_splitters(keys, n_shards, tolerance)
+    splitters, total, stuck = find_splitters(keys, n_shards, tolerance)
     if stuck:
         rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered").withColumn("_t", F.xxhash64("_t", "_row"))
         keys = materialise(rows.select(*narrow), "shard-keys")
-        splitters, n_rows, _ = find_splitters(keys, n_shards, tolerance)
-    bits = max(1, min(40, math.ceil(math.log2(max(2, n_rows / CELL_ROWS)))))
+        splitters, total, _ = find_splitters(keys, n_shards, tolerance)
+    bits = max(1, min(40, math.ceil(math.log2(max(2, total / CELL_BYTES)))))
 
     def coarse(df, h, t):
         at = sum((F.when((h > a) | ((h == a) & (t >= b)), 1).otherwise(0) for a, b in splitters), F.lit(0))
         return df.withColumns({"shard": at.cast("int"), "_hbin": F.shiftright(h, 64 - bits)})
 
     marked = coarse(keys, F.col("h"), F.col("t"))
-    # Log2 of how many cells a bin of more than two cells' rows makes.
-    deep = marked.groupBy("shard", "_hbin").agg(F.count("*").alias("n")).where(F.col("n") > 2 * CELL_ROWS)
-    deep = materialise(deep.select("shard", "_hbin", F.least(F.lit(40), F.ceil(F.log2(F.col("n") / CELL_ROWS))).cast("int").alias("_bits")), "cells")
+    # Log2 of how many cells a bin of more than two cells' bytes makes.
+    deep = marked.groupBy("shard", "_hbin").agg(F.sum("size").alias("n")).where(F.col("n") > 2 * CELL_BYTES)
+    deep = materialise(deep.select("shard", "_hbin", F.least(F.lit(40), F.ceil(F.log2(F.col("n") / CELL_BYTES))).cast("int").alias("_bits")), "cells")
     n_deep = deep.limit(BROADCAST_CELLS + 1).count()
 
     def cells(df, t):

@@ -39,7 +39,7 @@ def test_a_group_of_a_third_is_cut_only_where_it_must(spark):
     assert len(held) <= 4
 
 
-def sorted_list_version(rows, n_shards, cell):
+def sorted_list_version(rows, n_shards):
     """(h, t) -> shard and the rank in it, from one sorted list: each cut is at the nearer edge of a group of equal texts, or of a row where the group is too large."""
     rows = sorted(rows)
     total, largest = sum(r[2] for r in rows), max(r[2] for r in rows)
@@ -72,7 +72,7 @@ def test_shards_and_slots_equal_the_sorted_list_version(spark, n_shards):
     rows = [(i, "hot text " * 3 if i % 3 == 0 else f"{i // 2 % 400} " * (1 + i // 2 % 9), None, None, None) for i in range(1800)]
     docs = spark.createDataFrame(rows, DOCS)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64("doc_id", F.xxhash64("text")).alias("t"), (F.octet_length("text") + 8).alias("s")).collect()
-    want = sorted_list_version([(r.h, r.t, r.s) for r in keyed], n_shards, 50_000)
+    want = sorted_list_version([(r.h, r.t, r.s) for r in keyed], n_shards)
     want = {r.doc_id: want[r.h, r.t] for r in keyed}
     assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs, n_shards, tolerance=0.0).collect()} == want
 
@@ -96,9 +96,9 @@ def test_repeated_rows_of_a_third_are_cut(spark):
     assert max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 8 + 2 * max(r.size for r in got)
 
 
-@pytest.mark.parametrize("cell", [50_000, 20])
+@pytest.mark.parametrize("cell", [4 << 20, 500])
 def test_awkward_rows(spark, monkeypatch, cell):
-    monkeypatch.setattr(sharding, "CELL_ROWS", cell)
+    monkeypatch.setattr(sharding, "CELL_BYTES", cell)
     check(spark, documents(), 5)
 
 
