@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, langid, near_dup, packing, quality, sharding, suffix_dedup, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, langid, near_dup, packing, quality, search, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_shard": sharding.op8_shard,
     "op9_language_id": langid.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_search": search.op11_search,
     "op12_bpe": bpe.op12_bpe,
 }
 
@@ -22,4 +23,5 @@ ORACLE = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_search": search.OP11_SQL,
 }
