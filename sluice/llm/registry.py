@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, langid, near_dup, packing, quality, search, sharding, suffix_dedup, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, langid, near_dup, packing, prefix_trie, quality, search, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_search": search.op11_search,
     "op12_bpe": bpe.op12_bpe,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op6_chat_format": chat.OP6_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
     "op11_search": search.OP11_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
