@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from array import array
 
@@ -69,11 +70,11 @@ class Vocabulary:
         plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
         if not (order == sorted(set(order)) and plain and spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"]):
             raise ValueError("a byte-level vocabulary whose ids follow its merges, without a normalizer, is needed")
-        # Lengths of the tokens that end in two given bytes, longest first.
+        # Lengths of the tokens of three bytes or more that end in three given bytes, longest first.
         lengths: dict[bytes, set[int]] = {}
         for t in self.ids:
-            if len(t) > 1:
-                lengths.setdefault(t[-2:], set()).add(len(t))
+            if len(t) > 2:
+                lengths.setdefault(t[-3:], set()).add(len(t))
         self.lengths = {end: sorted(own, reverse=True) for end, own in lengths.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.selfmade: dict[int, bool] = {}
@@ -81,7 +82,8 @@ class Vocabulary:
         self.cut_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.own_words = Tokenizer.from_file(path).pre_tokenizer
         # Characters that Unicode has not assigned here may be letters to one library and not to another.
-        self.unassigned = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in unassigned_ranges()) + "]")
+        self.unassigned = np.zeros(0x110000, bool)
+        self.unassigned[[c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]] = True
         by_id = {i: t for t, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         sizes = np.zeros(max(by_id) + 2, np.int64)
         for i, t in by_id.items():
@@ -131,17 +133,21 @@ class Vocabulary:
 
     def last_token(self, word: bytes, end: int, last_at) -> tuple[int, int]:
         """(token, length): the last token of word[:end]; last_at(i) is that of word[:i], for i below end and above 0."""
+        ids = self.ids
+        for size in self.lengths.get(word[end - 3 : end], ()) if end > 2 else ():
+            if size <= end:
+                t = ids.get(word[end - size : end])
+                if t is not None and (self.is_whole(t) if size == end else self.can_follow(last_at(end - size), t)):
+                    return t, size
         if end > 1:
-            for size in self.lengths.get(word[end - 2 : end], ()):
-                if size <= end:
-                    t = self.ids.get(word[end - size : end])
-                    if t is not None and (self.is_whole(t) if size == end else self.can_follow(last_at(end - size), t)):
-                        return t, size
-        return self.ids[word[end - 1 : end]], 1
+            t = ids.get(word[end - 2 : end])
+            if t is not None and (self.is_whole(t) if end == 2 else self.can_follow(last_at(end - 2), t)):
+                return t, 2
+        return ids[word[end - 1 : end]], 1
 
     def split(self, text: str) -> list[str | int]:
         """The words of a text in order; a special token stands as its id."""
-        if self.cut_special is None or not self.cut_special.search(text):
+        if not any(s in text for s in self.special):
             return self.words(text)
         out: list[str | int] = []
         for part in self.cut_special.split(text):
@@ -152,7 +158,7 @@ class Vocabulary:
         return out
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or not self.unassigned.search(text):
+        if text.isascii() or not self.unassigned[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
             return self.words_of(text)
         return [text[a:b] for _, (a, b) in self.own_words.pre_tokenize_str(text)]
 
@@ -166,16 +172,11 @@ class Vocabulary:
         return self.bytes[at].tobytes().decode("utf-8", "replace")
 
 
-def unassigned_ranges() -> list[tuple[int, int]]:
-    """Runs of code points without a category, surrogates left out."""
-    out: list[tuple[int, int]] = []
-    for c in range(0x80, 0x110000):
-        if unicodedata.category(chr(c)) == "Cn":
-            if out and out[-1][1] == c - 1:
-                out[-1] = out[-1][0], c
-            else:
-                out.append((c, c))
-    return out
+def shared_prefix(a: bytes, b: bytes) -> int:
+    """How many bytes a and b begin with in common."""
+    n = min(len(a), len(b))
+    differs = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differs.bit_length() + 7) // 8
 
 
 class WordTrie:
@@ -195,33 +196,33 @@ class WordTrie:
         """Encode words that are not known yet: the trie is gone through depth first, in the order of their bytes."""
         fresh = sorted((w.encode(), w) for w in words if w not in self.ids_of)
         before, path = b"", [0]
+        child, last, last_token = self.child, self.last, self.vocab.last_token
+        last_at = lambda i: last[path[i]]
         for raw, word in fresh:
             if len(raw) > LONG:
                 self.ids_of[word] = self._alone(raw)
                 continue
-            shared, most = 0, min(len(raw), len(before))
-            while shared < most and raw[shared] == before[shared]:
-                shared += 1
+            shared = shared_prefix(raw, before)
             del path[shared + 1 :]
+            node = path[-1]
             for end in range(shared + 1, len(raw) + 1):
-                edge = path[-1] << 8 | raw[end - 1]
-                node = self.child.get(edge)
+                edge = node << 8 | raw[end - 1]
+                node = child.get(edge)
                 if node is None:
-                    node = self.child[edge] = len(self.last)
-                    token, size = self.vocab.last_token(raw, end, lambda i: self.last[path[i]])
-                    self.last.append(token)
+                    node = child[edge] = len(last)
+                    token, size = last_token(raw, end, last_at)
+                    last.append(token)
                     self.back.append(path[end - size])
                 path.append(node)
             before = raw
             self.ids_of[word] = self._read_back(path[-1])
 
     def _read_back(self, node: int) -> bytes:
-        out = array("I")
+        out = []
         while node:
             out.append(self.last[node])
             node = self.back[node]
-        out.reverse()
-        return np.asarray(out, "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *reversed(out))
 
     def _alone(self, raw: bytes) -> bytes:
         """A very long word: its prefixes are one path, which is dropped afterwards."""
