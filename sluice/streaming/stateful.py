@@ -7,6 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+#: The state store that map state and timers need.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def open_state(events: DataFrame, toggle: str, reset: str) -> DataFrame:
@@ -26,3 +30,63 @@ def open_state(events: DataFrame, toggle: str, reset: str) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "seen": [seen + len(batch)], "is_open": [is_open]})
 
     return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, seen long, is_open boolean", "seen long, is_open boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+SPELL = "zone long, depth string, started timestamp, ended timestamp, hours long, mean double, last double"
+HOUR_MS = 3_600_000
+
+
+class MoistureSpells(StatefulProcessor):
+    """One zone's spell: what each depth has had since it began, and when the zone last spoke.
+
+    A timer on event time stands silence after the last hour; it gives out the spell and
+    clears the state, so that silent zones hold none. An hour that comes after such
+    a silence within one batch closes the spell itself, so batches may be cut anywhere.
+    """
+
+    def __init__(self, silence_hours: int):
+        self.silence = silence_hours * HOUR_MS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.depths = handle.getMapState("depths", "depth string", "hours long, total double, at long, last double")
+        self.span = handle.getValueState("span", "first long, last long")
+
+    def _close(self, zone: int) -> pd.DataFrame:
+        first, last = self.span.get()
+        rows = [(zone, depth, first, last, hours, total / hours, value) for (depth,), (hours, total, _, value) in self.depths.iterator()]
+        self.depths.clear()
+        self.span.clear()
+        out = pd.DataFrame(rows, columns=["zone", "depth", "started", "ended", "hours", "mean", "last"])
+        return out.assign(started=pd.to_datetime(out["started"], unit="ms"), ended=pd.to_datetime(out["ended"], unit="ms"))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if pd.isna(key[0]):
+            return  # heartbeats; a filter for them would go below the watermark and stop it
+        # One row an hour and depth: a batch of them is bounded by the time that it spans.
+        batch = pd.concat(list(rows)).sort_values(["hour", "depth"])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        millis = batch["hour"].astype("datetime64[ms]").astype("int64")
+        for depth, at, mean in zip(batch["depth"], millis, batch["mean"], strict=True):
+            first, last = self.span.get() if self.span.exists() else (at, at)
+            if at - last > self.silence:
+                yield self._close(key[0])
+                first = at
+            hours, total = self.depths.getValue((depth,))[:2] if self.depths.containsKey((depth,)) else (0, 0.0)
+            self.depths.updateValue((depth,), (hours + 1, total + mean, at, mean))
+            self.span.update((first, at))
+        # An hour is known when it is over: the last one that can still belong to the spell ends an hour after its start.
+        self.handle.registerTimer(self.span.get()[1] + self.silence + HOUR_MS)
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.span.exists():
+            yield self._close(key[0])
+
+    def close(self) -> None:
+        pass
+
+
+def moisture_spells(hours: DataFrame, silence_hours: int) -> DataFrame:
+    """Spells of zones between silences, by depth: hours is a stream of zone, depth, hour and mean, one row of each, appended by watermark."""
+    return hours.groupBy("zone").transformWithStateInPandas(MoistureSpells(silence_hours), SPELL, "Append", "EventTime")
