@@ -1,3 +1,3 @@
 """The catalogue of queries; importing it registers them."""
 
-from . import aggregates, fields, pages, plots, relational, scalars, state, stores, streams, udfs, windows  # noqa: F401
+from . import aggregates, fields, pages, plots, relational, scalars, state, stores, streams, terrain, udfs, windows  # noqa: F401

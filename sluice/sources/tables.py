@@ -34,6 +34,13 @@ def round_trip(df: DataFrame, kind: str, **options: str) -> DataFrame:
     return df.sparkSession.read.format(kind).options(**options).schema(df.schema).load(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, which cuts its lineage: a lost executor costs a re-read."""
+    path = f"{shared_dir(df.sparkSession)}/sluice/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitioned(df: DataFrame, *by: str) -> DataFrame:
     """df written partitioned by columns, and read back so that filters on them prune folders."""
     path = f"{shared_dir(df.sparkSession)}/sluice/by-{uuid.uuid4().hex}"
