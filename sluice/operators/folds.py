@@ -73,32 +73,35 @@ def running_mean_before(df: DataFrame, key: str, order: tuple[str, ...], value:
     return out.withColumn(name, F.try_divide(F.col("_a") + F.col("_s"), F.col("_b") + F.col("_n"))).drop("_d", "_a", "_b", "_s", "_n")
 
 
-def with_neighbours(df: DataFrame, key: str, order: tuple[str, ...], value: str, back: int, ahead: int) -> DataFrame:
+def with_neighbours(df: DataFrame, key: str, order: tuple[str, ...], value: str, back: int, ahead: int, ends: bool = False) -> DataFrame:
     """df with _before and _after, arrays of structs (v) of the value in up to back rows before each row of its key, and ahead rows after it, in order; and _rank, its number from 1.
+    With ends, also _firsts and _lasts: the values of up to ahead first and back last rows of the key.
 
     Rows are windowed within (key, day). A day's first and last few values, one row per key and
     day, tell its neighbours what they lack: every day has a row, so that so many days are enough.
     """
     df = _day(df, order).withColumn("_v", F.struct(F.col(value).alias("v")))
-    none = F.array().cast(f"array<{df.schema['_v'].dataType.simpleString()}>")
     day = Window.partitionBy(key, "_d").orderBy(*order)
-    lists = {
-        "_before": F.collect_list("_v").over(day.rowsBetween(-back, -1)) if back else none,
-        "_after": F.collect_list("_v").over(day.rowsBetween(1, ahead)) if ahead else none,
-        "_rank": F.row_number().over(day).cast("long"),
-    }
-    df = df.withColumns(lists)
-    most = max(back, ahead, 1)
-    back_rank = F.row_number().over(Window.partitionBy(key, "_d").orderBy(*(F.desc(c) for c in order)))
-    edge = F.struct(*order, "_v")
-    ends = df.withColumn("_back", back_rank).groupBy(key, "_d").agg(
-        F.sort_array(F.collect_list(F.when(F.col("_rank") <= most, edge))).alias("head"), F.sort_array(F.collect_list(F.when(F.col("_back") <= most, edge))).alias("tail"), F.count("*").alias("n"))
+    # One pass over each day: what lies before and after each row, which also tells a day's last rows.
+    leads = max(ahead, back if back > 1 else 0)
+    near = {f"_p{i}": F.lag("_v", i).over(day) for i in range(1, back + 1)} | {f"_f{i}": F.lead("_v", i).over(day) for i in range(1, leads + 1)}
+    df = df.withColumns({"_rank": F.row_number().over(day).cast("long"), **near})
+    there = lambda cols: F.filter(F.array(*cols), lambda x: x.isNotNull()) if cols else F.array().cast(f"array<{df.schema['_v'].dataType.simpleString()}>")
+    nth_last = lambda i: F.col(f"_f{i}").isNull() & (F.col(f"_f{i - 1}").isNotNull() if i > 1 else F.lit(True))
+    head = [F.max(F.when(F.col("_rank") == i, F.col("_v"))) for i in range(1, ahead + 1)]
+    tail = [F.max(F.when(nth_last(i), F.col("_v"))) for i in range(back, 0, -1)] if back > 1 else [F.max(F.struct(*order, "_v"))["_v"]] * back
+    edges = df.groupBy(key, "_d").agg(there(head).alias("head"), there(tail).alias("tail"), F.count("*").alias("n"))
     days = Window.partitionBy(key).orderBy("_d")
-    plain = lambda c: F.transform(F.flatten(c), lambda x: x["_v"])
-    carry = ends.select(
-        key, "_d", plain(F.collect_list("tail").over(days.rowsBetween(-most, -1))).alias("_prior"), plain(F.collect_list("head").over(days.rowsBetween(1, most))).alias("_next"),
+    around = lambda c, a, b: F.flatten(F.collect_list(c).over(days.rowsBetween(a, b)))
+    carry = edges.select(
+        key, "_d", "head", "tail", (around("tail", -back, -1) if back else there([])).alias("_prior"), (around("head", 1, ahead) if ahead else there([])).alias("_next"),
         F.coalesce(F.sum("n").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_done"))
-    out = df.join(carry, [key, "_d"])
+    if ends:
+        whole = days.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        carry = carry.withColumns({"_firsts": F.first(F.slice(F.concat("head", "_next"), 1, ahead)).over(whole), "_lasts": F.last(F.slice(F.concat("_prior", "tail"), -back, back)).over(whole)})
+    carry = carry.drop("head", "tail")
+    out = df.withColumns({"_before": there([F.col(f"_p{i}") for i in range(back, 0, -1)]), "_after": there([F.col(f"_f{i}") for i in range(1, ahead + 1)])})
+    out = out.drop("_v", *near).join(carry, [key, "_d"])
     lack, short = back - F.size("_before"), ahead - F.size("_after")
     prior = F.slice("_prior", F.greatest(F.lit(1), F.size("_prior") - lack + 1), F.greatest(F.lit(0), lack))
-    return out.withColumns({"_before": F.concat(prior, "_before"), "_after": F.concat("_after", F.slice("_next", 1, F.greatest(F.lit(0), short))), "_rank": F.col("_rank") + F.col("_done")}).drop("_d", "_v", "_prior", "_next", "_done")
+    return out.withColumns({"_before": F.concat(prior, "_before"), "_after": F.concat("_after", F.slice("_next", 1, F.greatest(F.lit(0), short))), "_rank": F.col("_rank") + F.col("_done")}).drop("_d", "_prior", "_next", "_done")

@@ -68,12 +68,24 @@ def within_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
 
 
 def take_until(df: DataFrame, value: str, cost: str, tie: str, budget: int, width: int) -> DataFrame:
-    """The rows of highest value whose costs together stay within a budget: running sums of bins of the value, then within the bins."""
+    """The rows of highest value whose costs together stay within a budget.
+
+    Running sums go over bins of the value, then over the counted values of the bins that the
+    budget reaches, and then over the rows of one value at a time: a bin is no single task.
+    Costs are not negative.
+    """
     binned = df.withColumn("_bin", F.floor(F.col(value) / width))
-    before = Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
-    start = binned.groupBy("_bin").agg(F.sum(cost).alias("c")).select("_bin", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_start")).where(F.col("_start") <= budget)
-    inside = Window.partitionBy("_bin").orderBy(F.desc(value), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return binned.join(start, "_bin").withColumn("spent", F.sum(cost).over(inside) + F.col("_start")).where(F.col("spent") <= budget).drop("_bin", "_start")
+    sums = binned.groupBy("_bin", F.col(value).alias("_value")).agg(F.sum(cost).alias("c"))
+
+    def before(by, *within):
+        order = Window.partitionBy(*within).orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("c").over(order), F.lit(0))
+
+    bins = sums.groupBy("_bin").agg(F.sum("c").alias("c")).select("_bin", before("_bin").alias("_at")).where(F.col("_at") <= budget)
+    values = sums.join(bins, "_bin").select("_value", (F.col("_at") + before("_value", "_bin")).alias("_start")).where(F.col("_start") <= budget)
+    inside = Window.partitionBy("_value").orderBy(tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.join(values, F.col(value) == F.col("_value")).withColumn("spent", F.sum(cost).over(inside) + F.col("_start"))
+    return rows.where(F.col("spent") <= budget).drop("_value", "_start")
 
 
 def polygon_area(xs: Column, ys: Column) -> Column:

@@ -94,23 +94,29 @@ def cascade(spark, sf_dir):
     return ranking.cascade(load(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", "p_name"), "p_brand", "p_size", "p_partkey")
 
 
-COSTS = [("alpha", "R$ 60-90", "1,5", "60-70%"), ("beta", "R$ 1.000–1.250", "0,3", "~35%"), ("gamma", "R$ 15", "1,0", "55–65%")]
-
-
-@query("r16_static_table", """SELECT * FROM (VALUES ('alpha', 60.00::DECIMAL(10,2), 90.00::DECIMAL(10,2), 1.50::DECIMAL(10,2), 60.00::DECIMAL(10,2), 70.00::DECIMAL(10,2), false),
-('beta', 1000.00, 1250.00, 0.30, 35.00, 35.00, true), ('gamma', 15.00, 15.00, 1.00, 55.00, 65.00, false)) AS t(item, price_lo, price_hi, dose, saving_lo, saving_hi, approximate)""", "R")
+@query("r16_static_table", """SELECT p_partkey, CAST(floor(p_retailprice) * p_size AS DECIMAL(10,2)) AS price_lo, CAST(floor(p_retailprice) * p_size + 1250 AS DECIMAL(10,2)) AS price_hi, CAST(p_size / 10.0 AS DECIMAL(10,2)) AS dose,
+CAST(CASE WHEN p_size % 3 = 0 THEN 35 ELSE p_size END AS DECIMAL(10,2)) AS saving_lo, CAST(CASE WHEN p_size % 3 = 0 THEN 35 ELSE p_size + 10 END AS DECIMAL(10,2)) AS saving_hi, p_size % 3 = 0 AS approximate FROM part""", "R")
 def static_table(spark, sf_dir):
-    """A literal table whose numbers are written with decimal commas, thousands dots, two kinds of dash and a tilde."""
-    rows = spark.createDataFrame(COSTS, "item string, price string, dose string, saving string")
+    """A table of costs as pages print it, read back as numbers: decimal commas, thousands dots, two kinds of dash and a tilde."""
+    size, whole = F.col("p_size"), F.floor("p_retailprice") * F.col("p_size")
+    dots = lambda c: F.translate(F.format_number(c, 0), ",", ".")
+    printed = load(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(F.lit("R$ "), dots(whole), F.when(size % 2 == 0, "-").otherwise("–"), dots(whole + 1250)).alias("price"),
+        F.translate(F.format_number(size / 10, 1), ".", ",").alias("dose"),
+        F.when(size % 3 == 0, "~35%").otherwise(F.concat(size.cast("string"), F.lit("–"), (size + 10).cast("string"), F.lit("%"))).alias("saving"))
     price, saving = L.span(F.col("price")), L.span(F.col("saving"))
-    return rows.select("item", price["lo"].alias("price_lo"), price["hi"].alias("price_hi"), L.number(F.col("dose")).alias("dose"), saving["lo"].alias("saving_lo"), saving["hi"].alias("saving_hi"), saving["approx"].alias("approximate"))
+    return printed.select("p_partkey", price["lo"].alias("price_lo"), price["hi"].alias("price_hi"), L.number(F.col("dose")).alias("dose"), saving["lo"].alias("saving_lo"), saving["hi"].alias("saving_hi"), saving["approx"].alias("approximate"))
 
 
-@query("r17_static_list", "SELECT CAST(row_number() OVER () AS INTEGER) - 1 AS ord, tag FROM (SELECT unnest(['soil', 'leaf', 'water', 'zone', 'map', 'dose']) AS tag)", "R")
+@query("r17_static_list", """SELECT page_id, CAST(i - 1 AS INTEGER) AS ord, tags[i] AS tag FROM (SELECT page_id, tags, unnest(range(1, len(tags) + 1)) AS i FROM (
+SELECT page_id, CASE regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) WHEN 'es' THEN ['suelo', 'hoja', 'agua', 'zona', 'mapa', 'dosis'] WHEN 'pt' THEN ['solo', 'folha', 'água', 'zona', 'mapa', 'dose'] ELSE ['soil', 'leaf', 'water', 'zone', 'map', 'dose'] END AS tags FROM pages))""", "R")
 def static_list(spark, sf_dir):
-    """A list of tags in order."""
-    tags = F.array(*(F.lit(x) for x in ("soil", "leaf", "water", "zone", "map", "dose")))
-    return spark.range(1).select(F.posexplode(tags).alias("ord", "tag"))
+    """Each page's list of tags, of its language, in order."""
+    words = {"es": "suelo hoja agua zona mapa dosis", "pt": "solo folha água zona mapa dose", "en": "soil leaf water zone map dose"}
+    lists = {k: F.array(*(F.lit(x) for x in v.split())) for k, v in words.items()}
+    lang = H.lang(F.col("html"))
+    tags = F.when(lang == "es", lists["es"]).when(lang == "pt", lists["pt"]).otherwise(lists["en"])
+    return load(spark, sf_dir, "pages").select("page_id", F.posexplode(tags).alias("ord", "tag"))
 
 
 @query("r18_link_template", "SELECT c_custkey, 'https://m.example.com/send?text=' || replace(replace(url_encode(c_name || ' & ' || c_mktsegment), '%20', '+'), '%2A', '*') AS link, c_name || ' & ' || c_mktsegment AS message FROM customer", "R")

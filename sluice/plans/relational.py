@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators import joins
 from sluice.registry import query
-from sluice.sources.tables import load, partitioned, round_trip, views
+from sluice.sources.tables import load, partitioned, round_trip, views, written
 
 
 @query("pricing_summary", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
@@ -143,9 +143,15 @@ def cte(spark, sf_dir):
     return spark.sql("WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1) SELECT c_mktsegment, round(max(t), 2) AS top FROM big JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 
 
-@query("cte_recursive", "WITH RECURSIVE r(n, f) AS (SELECT 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 15) SELECT n, f FROM r")
+@query("cte_recursive", """WITH RECURSIVE m AS (SELECT date_trunc('quarter', o_orderdate) AS quarter, sum(o_totalprice) AS total FROM orders GROUP BY 1),
+s(quarter, level) AS (SELECT quarter, total FROM m WHERE quarter = (SELECT min(quarter) FROM m) UNION ALL SELECT m.quarter, 0.5::DOUBLE * level + 0.5::DOUBLE * total FROM s JOIN m ON m.quarter = s.quarter + INTERVAL 3 MONTH)
+SELECT CAST(quarter AS DATE) AS quarter, round(level, 2) AS level FROM s""")
 def cte_recursive(spark, sf_dir):
-    return spark.sql("WITH RECURSIVE r(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 15) SELECT n, f FROM r")
+    """Orders by quarter, smoothed: each quarter's level follows from the one before. Recursion runs over quarters, which are summed once."""
+    orders = load(spark, sf_dir, "orders").groupBy(F.date_trunc("quarter", "o_orderdate").alias("quarter")).agg(F.sum("o_totalprice").alias("total"))
+    written(orders, "quarters").createOrReplaceTempView("order_quarters")
+    return spark.sql("""WITH RECURSIVE s(quarter, level) AS (SELECT quarter, total FROM order_quarters WHERE quarter = (SELECT min(quarter) FROM order_quarters)
+        UNION ALL SELECT m.quarter, 0.5D * level + 0.5D * total FROM s JOIN order_quarters m ON m.quarter = s.quarter + INTERVAL 3 MONTH) SELECT CAST(quarter AS DATE) AS quarter, round(level, 2) AS level FROM s""")
 
 
 @query("set_operations", """SELECT 'union' AS op, k FROM (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9900 UNION SELECT s_nationkey FROM supplier)
@@ -225,10 +231,15 @@ def predicates(spark, sf_dir):
     return p.where(name.like("%ring%") | (name.ilike("RED%") & size.between(5, 20)) | (F.col("p_type").isin("ECONOMY", "PROMO") & F.col("p_brand").rlike("^Brand#1[0-9]$") & name.isNotNull() & ~size.eqNullSafe(7))).select("p_partkey")
 
 
-@query("generators", "SELECT i, i * i AS sq FROM range(1, 101) AS t(i) UNION ALL SELECT a, b FROM (VALUES (-1::BIGINT, 1::BIGINT), (-2, 4)) AS v(a, b)")
+@query("generators", """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day)
+SELECT c.day, coalesce(n, 0) AS n, w.name FROM c LEFT JOIN d ON d.day = c.day JOIN (VALUES (0, 'Sun'), (1, 'Mon'), (2, 'Tue'), (3, 'Wed'), (4, 'Thu'), (5, 'Fri'), (6, 'Sat')) AS w(i, name) ON w.i = dayofweek(c.day)""")
 def generators(spark, sf_dir):
-    values = spark.sql("SELECT CAST(a AS BIGINT) AS i, CAST(b AS BIGINT) AS sq FROM VALUES (-1, 1), (-2, 4) AS v(a, b)")
-    return spark.range(1, 101).select(F.col("id").alias("i"), (F.col("id") * F.col("id")).alias("sq")).unionByName(values)
+    """A calendar from the first order to the last, generated as a range, with the orders of each day and a literal table of names."""
+    days = load(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    low, high = days.agg(F.min(F.unix_date("day")), F.max(F.unix_date("day"))).first()
+    calendar = spark.range(low or 0, (high or -1) + 1).select(F.date_from_unix_date(F.col("id").cast("int")).alias("day"))
+    names = spark.sql("SELECT * FROM VALUES (1, 'Sun'), (2, 'Mon'), (3, 'Tue'), (4, 'Wed'), (5, 'Thu'), (6, 'Fri'), (7, 'Sat') AS w(i, name)")
+    return calendar.join(days, "day", "left").join(F.broadcast(names), F.dayofweek("day") == F.col("i")).select("day", F.coalesce("n", F.lit(0)).alias("n"), "name")
 
 
 for _kind, _options in (("csv", {"header": "true", "quote": '"', "escape": '"'}), ("json", {}), ("orc", {}), ("parquet", {})):

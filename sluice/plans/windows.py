@@ -32,14 +32,11 @@ def window_ranks(spark, sf_dir):
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def window_offsets(spark, sf_dir):
     """Neighbours and ends of each user's series, day by day with what other days hold, so that a user is no single task."""
-    order = ("ts", "event_id")
-    rows = folds.with_neighbours(load(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"), "user_id", order, "value", 1, 2)
-    # The ends of a whole series are grouped minima and maxima.
-    at = F.struct(*order, "value")
-    ends = rows.groupBy("user_id").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.min(F.when(F.col("_rank") == 2, at)).alias("two"))
-    return rows.join(ends, "user_id").select(
-        "event_id", F.get("_before", F.lit(0))["v"].alias("before"), F.when(F.size("_after") == 2, F.get("_after", F.lit(1))["v"]).otherwise(-1.0).alias("after"),
-        F.col("lo.value").alias("first"), F.col("hi.value").alias("last"), F.when(F.col("_rank") >= 2, F.col("two.value")).alias("second"))
+    rows = folds.with_neighbours(load(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"), "user_id", ("ts", "event_id"), "value", 1, 2, ends=True)
+    nth = lambda c, i: F.get(c, F.lit(i))["v"]
+    return rows.select(
+        "event_id", nth("_before", 0).alias("before"), F.when(F.size("_after") == 2, nth("_after", 1)).otherwise(-1.0).alias("after"),
+        nth("_firsts", 0).alias("first"), nth("_lasts", 0).alias("last"), F.when(F.col("_rank") >= 2, nth("_firsts", 1)).alias("second"))
 
 
 @query("window_frames", """SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS moving,
