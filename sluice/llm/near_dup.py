@@ -141,8 +141,8 @@ def _stars(adj: np.ndarray) -> list[tuple[int, int]]:
 def _compare(threshold: float):
     """Grouped Arrow task over one tile: links of each set in it, and for each component of them an edge to its least set from every other.
 
-    In a tile of a bucket (band 0 or more), a pair counts only if this is the first band
-    that it shares, so that it counts once.
+    A pair counts if its sets share a band. In a tile of a bucket (band 0 or more) it counts only if this is
+    the first band that they share, so that it counts once; in a tile of a whole cluster (band -1) any will do.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -158,11 +158,11 @@ def _compare(threshold: float):
             n_l, n_r = np.array([len(sets[i]) for i in left]), np.array([len(sets[i]) for i in right])
             adj = inter >= threshold * (n_l[:, None] + n_r[None, :] - inter) - 1e-6
             adj &= inter > 0
-            band = t.column("band")[0].as_py()
-            if band > 0:
-                bands = np.array(t.column("bands").to_pylist())[:, :band]
-                for k in range(band):
-                    adj &= bands[left, k][:, None] != bands[right, k][None, :]
+            band, bands = t.column("band")[0].as_py(), np.array(t.column("bands").to_pylist())
+            share = np.zeros(adj.shape, bool)
+            for k in range(band if band >= 0 else bands.shape[1]):
+                share |= bands[left, k][:, None] == bands[right, k][None, :]
+            adj &= share if band < 0 else ~share
             if same:
                 np.fill_diagonal(adj, False)
             for ids, got in ((left, adj @ size[right]), (right, size[left] @ adj)) if not same else ((left, adj @ size[left]),):
@@ -191,14 +191,14 @@ def _dealt(members: DataFrame, place: list[str]) -> DataFrame:
 def tiles_of(members: DataFrame, n_bands: int) -> DataFrame:
     """Which tiles (root, band, bucket, a, b) each candidate set goes to.
 
-    A cluster is compared as a whole, in tiles, while that copies a set no more often
-    than it has bands. In a larger one, as chains of near copies make, only pairs
-    that share a bucket are compared: a set goes to the tiles of each of its buckets.
+    Pairs that share a bucket are compared, in any cluster. One whose tiles would copy a set
+    no more often than it has bands goes there whole, which is less work; in a larger one, as chains of
+    near copies make, a set goes to the tiles of each of its buckets. The pairs are the same.
     """
     shape = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g")).select("root", F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("g") / TILE_HASHES)).alias("tiles"))
     shape = materialise(shape, "shapes")
     small = members.join(shape.where(F.col("tiles") <= n_bands).select("root"), "root", "left_semi")
-    whole = _dealt(small.withColumn("bands", F.lit(None).cast("array<long>")), ["root"]).withColumns({"band": F.lit(-1), "bucket": F.lit(0).cast("long")})
+    whole = _dealt(small, ["root"]).withColumns({"band": F.lit(-1), "bucket": F.lit(0).cast("long")})
     large = shape.where(F.col("tiles") > n_bands).select("root")
     if large.isEmpty():
         return whole
@@ -251,8 +251,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRES
     Documents of equal sets are collapsed first, so copies never multiply. Band
     hashes are shuffled as (hash, id) pairs; each bucket adds one edge from each
     member to its least member, and the components of those edges are candidate
-    clusters. Every pair within a cluster, or in a very large one every pair that shares a
-    bucket, is then verified on full sets, tile by tile of bounded size: a tile emits a
+    clusters. Every pair that shares a bucket is then verified on full sets, tile by tile of bounded size: a tile emits a
     count for each member and an edge to the least one of its component, never its pairs.
     """
     bands, rows = choose_bands(threshold, recall)

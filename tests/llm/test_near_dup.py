@@ -95,3 +95,12 @@ def test_empty_table_and_clashing_columns(spark):
 def test_band_choice_reaches_recall():
     b, r = near_dup.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**r) ** b >= 0.9999 and b * r <= 128
+
+
+def test_links_do_not_depend_on_the_size_of_a_cluster(spark, monkeypatch):
+    """The same pairs are linked whether a cluster is compared whole or bucket by bucket; with few bands, many pairs share none."""
+    docs = spark.createDataFrame(chain(60) + documents(3), DOCS)
+    run = lambda: sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in near_dup.ngram_jaccard_join(docs, threshold=0.5, recall=0.4).collect())
+    whole = run()
+    monkeypatch.setattr(near_dup, "TILE_SETS", 2)
+    assert run() == whole and any(n for _, _, n in whole)
