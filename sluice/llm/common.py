@@ -37,11 +37,13 @@ def materialise_bucketed(df: DataFrame, name: str, column: str, n: int, codec: s
     """
     spark = df.sparkSession
     called = f"sluice_{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", codec).option("path", f"{shared_dir(spark)}/sluice/{called}").bucketBy(n, column).saveAsTable(called)
-    got = spark.table(called)
-    got.schema  # noqa: B018  resolved now: only the catalogue's entry goes, not the files
-    spark.sql(f"DROP TABLE {called}")
-    return got
+    try:
+        df.write.option("compression", codec).option("path", f"{shared_dir(spark)}/sluice/{called}").bucketBy(n, column).saveAsTable(called)
+        got = spark.table(called)
+        got.schema  # noqa: B018  resolved now: only the catalogue's entry goes, not the files
+        return got
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {called}")
 
 
 def columns(docs: DataFrame, *names: str) -> DataFrame:

@@ -12,10 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.streaming.bounded import settings
+
 from .common import materialise, materialise_bucketed, table
 
 CAPACITY = 2048
 SEPARATOR = 0
+#: Buckets of token ids at most, as Spark allows by default.
+MAX_BUCKETS = 100_000
 #: Pieces that one island packs; a longer list is divided into blocks of about so many.
 BLOCK_ITEMS = 4096
 ISLANDS = 3
@@ -284,7 +288,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
 
     Packing sees only (pid, length). Token ids are written once, in buckets by the task that
     made them, and stay there: the finished plan, a few numbers for each piece, is dealt
-    to these buckets and joined in place. Loose bins of all blocks are pooled and packed again, in
+    to these buckets and joined in place, and the result written. The buckets need a session catalogue that can be written to. Loose bins of all blocks are pooled and packed again, in
     ever fewer blocks, so what blocks waste doesn't grow with their number.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -293,7 +297,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
     pieces = source.mapInArrow(_cutter(tokenizer, capacity, separator), f"doc_id {kind}, piece int, start long, length long, ids binary")
     # The upper bits of a generated id are the number of its task.
     pieces = pieces.withColumn("pid", F.monotonically_increasing_id()).withColumn("part", F.shiftright("pid", 33))
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A bucket for each task that writes, so that none holds much more than a split of the input.
+    n_parts = min(MAX_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
     pieces = materialise_bucketed(pieces, "pieces", "part", n_parts, "zstd")
     loose = pieces.where(F.col("length") < capacity).select("pid", "length")
     left, plans, level = loose.count(), [], 0
@@ -317,12 +322,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
     names = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"]
     if plan is None:
         return pieces.select(*names, (F.col("pid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    # The pieces' buckets are by part alone, which both sides of this join have to be told to make do with.
-    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     plan = plan.withColumn("part", F.shiftright("pid", 33))
-    return pieces.join(plan.hint("shuffle_hash"), ["part", "pid"], "left").select(
+    joined = pieces.join(plan.hint("shuffle_hash"), ["part", "pid"], "left").select(
         *names,
         F.coalesce("sequence_id", F.col("pid") * 2 + 1).alias("sequence_id"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))
+    # The pieces' buckets are by part alone, which both sides of this join have to be told to make do with: written
+    # here, so that the session's own setting holds again for whatever comes after.
+    with settings(docs.sparkSession, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+        return materialise(joined, "placed", "zstd")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -132,9 +132,19 @@ def test_tiny_inputs_reach_the_optimum(seed):
     assert len(packing.evolve(sizes, 1000, [], seed)[0].items) == least(sorted(sizes, reverse=True), [], 0)
 
 
-def test_ids_meet_the_plan_in_place(spark):
+def test_ids_meet_the_plan_in_place(spark, monkeypatch):
     """Pieces lie in buckets by their task; only the plan is exchanged."""
+    plans, write = {}, packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda df, name, *codec: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(df, name, *codec))
     docs = spark.createDataFrame([(i, f"text {i} " * (i % 50)) for i in range(400)], "doc_id long, text string").repartition(7)
-    plan = packing.pack(docs, PATH, 64)._jdf.queryExecution().executedPlan().toString()
+    packing.pack(docs, PATH, 64)
+    plan = plans["placed"]
     scan = next(x for x in plan.splitlines() if "FileScan" in x and "ids#" in x)
     assert "Bucketed: true" in scan and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_the_session_and_its_catalogue_stay_as_they_were(spark):
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before, tables = spark.conf.get(name), {t.name for t in spark.catalog.listTables()}
+    got = packing.pack(spark.createDataFrame([(i, "some words " * i) for i in range(30)], "doc_id long, text string"), PATH)
+    assert got.count() == 30 and spark.conf.get(name) == before and {t.name for t in spark.catalog.listTables()} == tables
