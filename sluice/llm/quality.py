@@ -85,6 +85,21 @@ def head(net: dict, best: np.ndarray) -> np.ndarray:
     return np.maximum(best + net["bias"], 0) @ net["out"] + net["shift"][0]
 
 
+def add_gradient(g: dict, net: dict, text: np.ndarray, y: float, weight: float) -> None:
+    """Add to g the gradient of one text's weighted log-loss."""
+    best, where, blocks = pool(net, text)
+    act = np.maximum(best + net["bias"], 0)
+    p = 1 / (1 + np.exp(-np.clip(act @ net["out"] + net["shift"][0], -30, 30)))
+    d = np.float32((p - y) * weight)
+    g["out"] += d * act
+    g["shift"] += d
+    da = np.where(act > 0, d * net["out"], 0).astype(np.float32)
+    g["bias"] += da
+    chunk = blocks[where[:, None] + np.arange(BLOCKS)].reshape(FILTERS, -1)
+    g["filters"] += (net["embed"][chunk].reshape(FILTERS, -1) * da[:, None]).T
+    np.add.at(g["embed"], chunk.reshape(-1), (net["filters"].T * da[:, None]).reshape(-1, EMBED))
+
+
 def fit(texts: list[bytes], y: np.ndarray, prior: float, seed: int = 11) -> dict[str, np.ndarray]:
     """Train on whole texts by Adam; only the chunk that won each pool gets a gradient.
 
@@ -103,17 +118,7 @@ def fit(texts: list[bytes], y: np.ndarray, prior: float, seed: int = 11) -> dict
         for a in range(0, len(order), BATCH):
             g = {k: np.zeros_like(x) for k, x in net.items()}
             for i in order[a : a + BATCH].tolist():
-                best, where, blocks = pool(net, raw[i])
-                act = np.maximum(best + net["bias"], 0)
-                p = 1 / (1 + np.exp(-np.clip(act @ net["out"] + net["shift"][0], -30, 30)))
-                d = np.float32((p - y[i]) * weight[i] / BATCH)
-                g["out"] += d * act
-                g["shift"] += d
-                da = np.where(act > 0, d * net["out"], 0).astype(np.float32)
-                g["bias"] += da
-                chunk = blocks[where[:, None] + np.arange(BLOCKS)].reshape(FILTERS, -1)
-                g["filters"] += (net["embed"][chunk].reshape(FILTERS, -1) * da[:, None]).T
-                np.add.at(g["embed"], chunk.reshape(-1), (net["filters"].T * da[:, None]).reshape(-1, EMBED))
+                add_gradient(g, net, raw[i], y[i], weight[i] / BATCH)
             step += 1
             for k in net:
                 grad = g[k] + 1e-4 * net[k]
@@ -152,12 +157,18 @@ def _fit_task(prior: float):
 
 
 def within_bytes(sample: DataFrame, limit: int) -> DataFrame:
-    """Rows (doc_id, label, text) of a sample bounded in rows, whose texts together have at most limit bytes: the first by a hash of the id."""
+    """Rows (doc_id, label, text) of a sample bounded in rows, whose texts together have at most limit bytes.
+
+    Each label has half of them: its documents by a hash of the id, those of more than a 64th of
+    limit last and by size. So a very long text takes no place from others, and a label
+    is left out only if none of its texts has half of limit or less.
+    """
     if (sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= limit:
         return sample
-    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id")
-    sizes = sample.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size")).withColumn("upto", F.sum("size").over(order))
-    return sample.join(F.broadcast(sizes.where(F.col("upto") <= limit).select("doc_id")), "doc_id", "left_semi")
+    sizes = sample.groupBy("label", "doc_id").agg(F.sum(F.octet_length("text")).alias("size"))
+    order = Window.partitionBy("label").orderBy(F.when(F.col("size") > limit / 64, F.col("size")).otherwise(0), F.xxhash64("doc_id"), "doc_id")
+    kept = sizes.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= limit / 2).select("label", "doc_id")
+    return sample.join(F.broadcast(kept), ["label", "doc_id"], "left_semi").select(*sample.columns)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, text_col: str = "text") -> dict | None:

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import held_out, table
+from .common import held_out, materialise, table
+from .quality import within_bytes
 
 #: Labelled documents of each class that are indexed, at about.
 PER_CLASS = 2048
 NEIGHBOURS = 15
+#: Bytes of text that these have together at most.
+SAMPLE_BYTES = 256 << 20
 #: Examples of a block, and blocks of the first group that is searched.
 BLOCK, GROUP = 64, 8
 #: Class factor of a word that tells the classes apart not at all; one that does for sure has 1 more.
@@ -190,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
     """An index of about per_class labelled documents of each class, chosen by a hash of the id; None without labels.
 
     The vocabulary is every word of that sample. Rows without label
-    are not used; a document labelled twice counts twice.
+    are not used; a document labelled twice counts twice. Ids are whole numbers. The sample is bounded in
+    documents and by SAMPLE_BYTES; one task builds the index from it and calibrates it, and
+    the driver gets the finished index only.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col("doc_id"), F.col(label_col).cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -199,9 +204,21 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
     share = F.coalesce(*(F.when(F.col("label") == c, F.lit(min(1.0, per_class / n))) for c, n in counts.items()))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     texts = docs.select("doc_id", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").mapInArrow(_term_rows, "doc_id long, label int, terms array<long>, counts array<long>").toArrow()
-    if not len(rows):
-        return None
+    chosen = within_bytes(materialise(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text"), "labelled"), SAMPLE_BYTES)
+    rows = chosen.mapInArrow(_term_rows, "doc_id long, label int, terms array<long>, counts array<long>")
+    made = rows.groupBy(F.lit(0).alias("one")).applyInArrow(_index_task(counts), "index binary").collect()
+    return pickle.loads(made[0]["index"]) if made else None
+
+
+def _index_task(counts: dict[int, int]):
+    def run(rows):
+        return pa.table({"index": pa.array([pickle.dumps(build_index(rows, counts))], pa.binary())})
+
+    return run
+
+
+def build_index(rows: pa.Table, counts: dict[int, int]) -> BlockMaxIndex:
+    """The calibrated index of labelled documents (doc_id, label, terms, counts); counts has how many rows each label has in all."""
     rows = rows.take(pc.sort_indices(rows.select(["doc_id", "label"]), [("doc_id", "ascending"), ("label", "ascending")])).combine_chunks()
     terms, n = (pc.list_flatten(rows[x]).to_numpy() for x in ("terms", "counts"))
     label, length = rows["label"].to_numpy(), pc.list_value_length(rows["terms"]).to_numpy()
