@@ -17,8 +17,8 @@ from .common import held_out, materialise, table
 DIMS = 8192
 #: Labelled documents of each language that are learned from, at about.
 PER_LANG = 400
-#: Languages learned at most; more raise an error rather than being dropped.
-MAX_LANGS = 200
+#: Documents of other families, at about, that a family's classifier learns from; of each language as many.
+REST = 2048
 
 # ISO 639-1 codes by family. Others are families of their own.
 FAMILIES = {
@@ -112,12 +112,13 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, text_col: str = "text", lan
 
     Each classifier is trained in its own task: one for each family against the
     rest, and one for each pair of languages in a family. With one language there
-    is nothing to separate, and with none the model predicts und.
+    is nothing to separate, and with none the model predicts und. A classifier learns from
+    per_lang documents of a language, and of other families from about REST in all, by a hash of their
+    vectors; so a task is bounded by what its own family has. Any number of languages will do; the model grows by a
+    vector of DIMS for each.
     """
     known = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return {"langs": []}
@@ -132,8 +133,15 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, text_col: str = "text", lan
         tasks += [(f"pair:{a}:{b}", [a], [b]) for a, b in itertools.combinations([c for c in langs if family(c) == f], 2)]
     model = {"langs": langs, "families": {f: [c for c in langs if family(c) == f] for f in families}, "svm": {}}
     if tasks:
-        plan = F.create_map(*itertools.chain(*((F.lit(c), F.array(*(F.struct(F.lit(t).alias("task"), F.lit(1.0 if c in pos else -1.0).alias("y")) for t, pos, neg in tasks if c in pos or c in neg))) for c in langs)))
-        rows = vectors.withColumn("t", F.explode(plan[F.col("lang")])).select("t.task", "t.y", "vec")
+        # What each language is to each classifier, and which share of its documents goes there.
+        roles = []
+        for t, pos, neg in tasks:
+            rest = sum(min(per_lang, counts[c]) for c in neg)
+            share_of_rest = min(1.0, REST / rest) if t.startswith("family:") else 1.0
+            roles += [(c, t, 1.0, 1.0) for c in pos] + [(c, t, -1.0, share_of_rest) for c in neg]
+        roles = docs.sparkSession.createDataFrame(roles, "lang string, task string, y double, share double")
+        spread = vectors.join(F.broadcast(roles), "lang")
+        rows = spread.where(F.pmod(F.xxhash64("vec", "task"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("task", "y", "vec")
         for r in rows.groupBy("task").applyInPandas(_train_task, "task string, w binary, b double, s double").collect():
             model["svm"][r["task"]] = (np.frombuffer(r["w"], np.float32), r["b"], r["s"])
     return model

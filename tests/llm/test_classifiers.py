@@ -62,6 +62,50 @@ def test_sample_is_bounded_in_bytes(spark):
     assert 3000 - 390 < size <= 3000 and got == quality.within_bytes(sample, 3000).collect()
 
 
+def test_a_very_long_text_takes_no_place_from_others(spark):
+    long = [(-i, i % 2, "y" * 5000) for i in range(1, 9)]
+    sample = spark.createDataFrame([*long, *((i, i % 2, "x" * 100) for i in range(20))], "doc_id long, label int, text string")
+    got = quality.within_bytes(sample, 7000).collect()
+    assert sorted(r.doc_id for r in got) == list(range(20))
+    # Of a label that has long texts only, the shortest that the bound allows.
+    only = spark.createDataFrame([(1, 0, "x" * 9000), (2, 0, "x" * 3000), (3, 1, "x")], "doc_id long, label int, text string")
+    assert sorted(r.doc_id for r in quality.within_bytes(only, 7000).collect()) == [2, 3]
+
+
+def test_gradient_equals_differences():
+    """Every kind of weight, against the change of the loss when it is moved a little."""
+    rng = np.random.default_rng(4)
+    net = {k: v.astype(np.float64) + 0.01 * rng.normal(size=v.shape) for k, v in quality.init(3).items()}
+    text = np.frombuffer("a text with some wörds, twice over: a text with some wörds".encode(), np.uint8)
+
+    def loss(net):
+        p = 1 / (1 + np.exp(-quality.head(net, quality.pool(net, text)[0])))
+        return -0.7 * np.log(p)
+
+    g = {k: np.zeros_like(v) for k, v in net.items()}
+    quality.add_gradient(g, net, text, 1.0, 0.7)
+    for k, own in g.items():
+        flat = own.reshape(-1)
+        for at in [*np.argsort(-np.abs(flat))[:6].tolist(), int(np.argmin(np.abs(flat)))]:
+            moved = []
+            for step in (1e-3, -1e-3):
+                other = {n: v.copy() for n, v in net.items()}
+                other[k].reshape(-1)[at] += step
+                moved.append(loss(other))
+            assert abs((moved[0] - moved[1]) / 2e-3 - flat[at]) < 0.02 * max(abs(flat[at]), np.abs(flat).max()) + 1e-4, (k, at)
+
+
+def test_more_than_two_hundred_languages(spark, monkeypatch):
+    """Each language has letters of its own; a family's classifier learns from a share of the others only."""
+    monkeypatch.setattr(langid, "REST", 24)
+    rows = [(i, f"l{i % 205:03d}", " ".join(chr(0x4E00 + 97 * (i % 205)) * 2 + chr(0x4E01 + 97 * (i % 205)) for _ in range(5 + i // 205))) for i in range(410)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.train(docs)
+    assert len(model["langs"]) == 205 and len(model["svm"]) == 205
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert np.mean([got[i] == lang for i, lang, _ in rows]) > 0.95
+
+
 def test_network_scores_alone_as_together():
     rng = random.Random(1)
     texts = [b"", b"x", b"abc" * 7, bytes(rng.randrange(256) for _ in range(5000)), "é日本".encode() * 100, b"y" * 300_000, b"last"]
