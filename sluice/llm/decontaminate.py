@@ -16,7 +16,7 @@ from .common import columns, materialise, table
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast window set. A larger benchmark is
 #: scanned in several blocks of this size, so that a task never holds more.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 FILTER_BITS = 20
 #: Documents hit are broadcast up to this many where several blocks meet; beyond, they are joined by shuffle.
 BROADCAST_HITS = 1 << 17
@@ -100,7 +100,9 @@ def scan(data: np.ndarray, offsets: np.ndarray, block: WindowSet) -> Iterator[tu
 def window_sets(benchmark: DataFrame, n: int, id_col: str, text_col: str, limit: int) -> DataFrame:
     """(block, windows): pickled window sets of limit bytes of item text at about, each built in a task of its own."""
     rows = columns(benchmark, id_col, text_col).where(F.col(f"`{text_col}`").isNotNull())
-    rows = rows.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("i"), F.col(f"`{text_col}`").alias("t")).dropDuplicates()
+    rows = rows.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).dropDuplicates()
+    # A long item goes in ranges that share n - 1 words, so that none of its windows is lost and no block is much larger than limit.
+    rows = rows.where(F.octet_length("t") <= limit).unionByName(rows.where(F.octet_length("t") > limit).mapInArrow(_ranges(n, limit), "i string, t string"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(total) // limit))
 
@@ -111,6 +113,26 @@ def window_sets(benchmark: DataFrame, n: int, id_col: str, text_col: str, limit:
     return rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks))).groupBy("block").applyInArrow(build, "block long, windows binary")
 
 
+def _ranges(n: int, limit: int):
+    def run(batches):
+        for b in batches:
+            for i, text in zip(b.column("i").to_pylist(), b.column("t").to_pylist(), strict=True):
+                data = np.frombuffer(text.encode(), np.uint8)
+                starts, ends, _ = K.words(data, np.array([0, len(data)]))
+                first = 0
+                while first < len(starts):
+                    # Up to the words that begin within limit, and the n - 1 that windows of the last of them need.
+                    stop = max(first + 1, int(np.searchsorted(starts, starts[first] + limit)))
+                    last = min(stop + n - 1, len(starts)) - 1
+                    piece = data[starts[first] : ends[last]].tobytes().decode()
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([piece])], ["i", "t"])
+                    if last == len(starts) - 1:
+                        break
+                    first = stop
+
+    return run
+
+
 def _scanner(shared, names):
     def run(batches):
         block = pickle.loads(shared.value)
@@ -139,7 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, carry:
     benchmark hits nothing.
 
     The window set is broadcast: at most block_bytes of item text at a time. A
-    larger benchmark takes one pass for each block, which writes a narrow row for each
+    larger benchmark, also one long item, takes one pass for each block, which writes a narrow row for each
     document that it hits; these are united and meet the documents once.
     """
     spark = docs.sparkSession

@@ -1,3 +1,4 @@
+import random
 import hashlib
 from collections import Counter
 
@@ -86,3 +87,13 @@ def test_several_blocks_give_the_spans_of_one(spark):
     key = lambda rows: sorted((r.doc_id, r.n_words, r.n_hit, tuple(map(tuple, r.spans)), tuple(r.items)) for r in rows)
     one, many = (key(D.contamination(docs, bench, block_bytes=limit).collect()) for limit in (1 << 20, 40))
     assert one == many and one[0][2] > 30
+
+
+def test_a_long_item_goes_in_ranges(spark):
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(4000)}" for _ in range(900))
+    words_ = text.split()
+    docs = spark.createDataFrame([(i, " ".join(words_[a : a + 40])) for i, a in enumerate(range(0, 860, 23))] + [(99, " ".join(words_[5:14])), (100, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("long", text), ("short", "w1 w2"), ("none", None)], "item_id string, text string")
+    run = lambda limit: sorted((r.doc_id, r.n_words, r.n_hit, str(r.spans), r["items"]) for r in decontaminate.contamination(docs, items, block_bytes=limit).collect())
+    assert run(200) == run(1 << 20) and sum(r[2] > 0 for r in run(200)) == 38
