@@ -40,3 +40,36 @@ def test_awkward_rows_pass_every_stage(spark, tmp_path):
         stage(spark, frame, DATA).write.parquet(f"file://{tmp_path}/{name}")
         frame = spark.read.parquet(f"file://{tmp_path}/{name}")
     assert frame.count() > 0
+
+
+def test_without_labels_and_benchmark(spark, tmp_path):
+    """Nothing is rejected and nothing is dirty, so what is left follows from copies alone."""
+    sf = f"file://{tmp_path}"
+    rows = documents()
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    distinct = {}
+    for r in rows:
+        distinct[low(r[1])] = max(distinct.get(low(r[1]), -1), -1 if r[0] is None else r[0])
+    once = [(i if i >= 0 else None, t) for t, i in distinct.items()]
+    _, group = brute(once)
+    classes = {min(g) for g in group.values()}
+    packed = corpus_pipeline.run(spark, sf).collect()
+    assert len({(r.doc_id, r.ids_crc32) for r in packed if r.start + r.length and r.piece == 0}) == len(classes)
+
+
+def test_the_quality_stage_keeps_what_the_query_accepts(spark):
+    """The first stage against the operator's own scores, row by row; the last against the ids of every text."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    from sluice.llm import packing, quality
+
+    want = {r.doc_id for r in quality.op4_quality(spark, DATA).collect() if r.predicted == 1}
+    kept = corpus_pipeline.quality_stage(spark, docs, DATA)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == want
+    import public_tokenizers
+
+    path, got = public_tokenizers.path("byte_bpe_50k.json"), {}
+    for r in corpus_pipeline.packing_stage(spark, docs, DATA).orderBy("doc_id", "piece").collect():
+        got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+    assert got == {r.doc_id: packing.encode(path, r.text or "").astype("<u4").tobytes() + bytes(4) for r in docs.collect()}
