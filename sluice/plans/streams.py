@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.operators import folds
 from sluice.registry import query
 from sluice.streaming import bounded, stateful
 
@@ -71,9 +70,9 @@ def stream_static_join(spark, sf_dir):
 @query("stream_state", """WITH g AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS era FROM events), m AS (SELECT user_id, max(era) AS era, count(*) AS seen FROM g GROUP BY 1)
 SELECT g.user_id, any_value(seen) AS seen, count(*) FILTER (WHERE event_type = 'click') % 2 = 1 AS is_open FROM g JOIN m ON g.user_id = m.user_id AND g.era = m.era GROUP BY 1""")
 def stream_state(spark, sf_dir):
-    """The reset fold as a stateful operator; the last state of each user."""
-    out = bounded.run(stateful.open_state(_events(spark, sf_dir).select("user_id", "event_id", "ts", "event_type"), "click", "error"), "update")
-    return folds.latest_per_key(out, "user_id", "seen")
+    """The reset fold as a stateful operator, keyed by user and day; the days' last states give each user's."""
+    out = bounded.run(stateful.open_state_by_day(_events(spark, sf_dir).select("user_id", "event_id", "ts", "event_type"), "click", "error"), "update")
+    return stateful.combine_days(out)
 
 
 @query("stream_rate_of_hours", "SELECT date_trunc('day', ts) AS day, round(avg(value), 6) AS mean FROM events GROUP BY 1")

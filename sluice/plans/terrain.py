@@ -7,11 +7,14 @@ import datetime
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+from pyspark.sql.window import Window
 
 from sluice.operators import estimates, graphs, nearest, polygons
 from sluice.plans.pages import LINKS_SQL
 from sluice.registry import query
-from sluice.sources.tables import load
+from sluice.sources import segments
+from sluice.sources.tables import load, round_trip
+from sluice.streaming import bounded
 
 
 def _spread(key, odd):
@@ -94,18 +97,12 @@ def weighted_sample(spark, sf_dir):
     """About a hundred places, a zone's share by its rows and their deviation, and within it by size: exponential keys, of which the smallest stay."""
     part = load(spark, sf_dir, "part")
     z = part.groupBy("p_type").agg((F.count("*") * F.stddev_pop("p_retailprice")).alias("w"))
-    share = z.select("p_type", F.ceil(100 * F.col("w") / F.sum("w").over(_whole())).alias("take"))
+    share = z.select("p_type", F.ceil(100 * F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(1)))).alias("take"))
     # One row a zone, and as many zones as there are types of parts.
     rows = part.select("p_type", "p_partkey", "p_size").join(F.broadcast(share), "p_type")
     return estimates.weighted_sample(rows, "p_type", F.col("p_size"), "p_partkey", F.col("take"), 101).select("p_type", "p_partkey")
 
 
-def _whole():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(F.lit(1))
-
-
 @query("p03_discriminant", """WITH g AS (SELECT p_type, count(*) AS n, avg(p_retailprice) AS mx, avg(p_size) AS my, var_pop(p_retailprice) AS vx, var_pop(p_size) AS vy, covar_pop(p_retailprice, p_size) AS vxy FROM part GROUP BY 1),
 p AS (SELECT sum(n * vx) / (sum(n) - count(*)) AS sx, sum(n * vy) / (sum(n) - count(*)) AS sy, sum(n * vxy) / (sum(n) - count(*)) AS sxy, sum(n) AS total FROM g),
 b AS (SELECT p_type, n, mx, my, ln(n / total) AS prior, (sy * mx - sxy * my) / (sx * sy - sxy * sxy) AS b1, (sx * my - sxy * mx) / (sx * sy - sxy * sxy) AS b2 FROM g, p)
@@ -134,6 +131,76 @@ def reachable_pages(spark, sf_dir):
     return graphs.reachable(out.unionByName(back), first).select("node")
 
 
+@query("p37_micro_variability", f"""WITH {POINTS}, v AS (SELECT p_brand, floor(x / 10) AS cx, floor(y / 10) AS cy, count(*) AS n, avg(p_retailprice) AS m, var_pop(p_retailprice) AS v FROM part JOIN points USING (p_partkey) GROUP BY 1, 2, 3),
+z AS (SELECT p_brand, stddev_pop(p_retailprice) AS sd FROM part GROUP BY 1)
+SELECT p_brand, count(*) AS cells, round(sqrt(sum(n * v) / sum(n)), 4) AS inside, round(any_value(sd), 4) AS whole, count(*) FILTER (WHERE n > 1 AND sqrt(v) > sd) AS rough FROM v JOIN z USING (p_brand) GROUP BY 1""", "P")
+def micro_variability(spark, sf_dir):
+    """How values vary within small cells of a plot, against the whole plot: moments of cells, which merge to those of the plot."""
+    cell = lambda c: F.floor(F.col(c) / 10)
+    cells = _placed(load(spark, sf_dir, "part"), "p_partkey").groupBy("p_brand", cell("x").alias("cx"), cell("y").alias("cy")).agg(F.count("*").alias("n"), F.avg("p_retailprice").alias("m"), F.var_pop("p_retailprice").alias("v"))
+    n = F.col("n")
+    sums = cells.groupBy("p_brand").agg(F.sum("n").alias("rows"), F.sum(n * F.col("m")).alias("first"), F.sum(n * F.col("v")).alias("within"), F.count("*").alias("cells"))
+    middle = sums.withColumn("mean", F.col("first") / F.col("rows"))
+    both = cells.join(F.broadcast(middle.select("p_brand", "mean")), "p_brand")  # a row a plot
+    spread = both.groupBy("p_brand").agg(F.sum(n * (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))).alias("between"))
+    whole = middle.join(spread, "p_brand").withColumn("sd", F.sqrt((F.col("within") + F.col("between")) / F.col("rows")))
+    rough = cells.join(F.broadcast(whole.select("p_brand", "sd")), "p_brand").groupBy("p_brand").agg(F.count(F.when((n > 1) & (F.sqrt("v") > F.col("sd")), 1)).alias("rough"))
+    return whole.join(rough, "p_brand").select("p_brand", "cells", F.round(F.sqrt(F.col("within") / F.col("rows")), 4).alias("inside"), F.round("sd", 4).alias("whole"), "rough")
+
+
+@query("p44_prescription_map", f"""WITH {POINTS}, {VERTICES}, o AS (SELECT c_custkey, c_acctbal AS v, {PLACE.format(k='c_custkey', x='ox', y='oy')} FROM customer),
+d AS (SELECT p_partkey, c_custkey, v, (x - ox) * (x - ox) + (y - oy) * (y - oy) AS d2 FROM points, o), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d2, c_custkey) AS rank FROM d),
+m AS (SELECT p_partkey, sum(v / (d2 + 1)) / sum(1 / (d2 + 1)) AS estimate FROM r WHERE rank <= 4 GROUP BY 1),
+i AS (SELECT p_partkey, n_nationkey FROM points, e WHERE (ay > y) <> (ey > y) AND x < (ex - ax) * (y - ay) / (ey - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT n_nationkey, count(*) AS places, CAST(sum(round(greatest(0, 9000 - estimate) / 50)) AS BIGINT) AS dose FROM i JOIN m USING (p_partkey) GROUP BY 1""", "P")
+def prescription_map(spark, sf_dir):
+    """From samples to a map, from the map to doses, and from those, handed over as a committed table, to what each plot's machine loads."""
+    root = bounded.new_root(spark)
+    points = _placed(load(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    samples = _placed(load(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("v")), "c_custkey", "ox", "oy")
+    fertility = nearest.inverse_distance(nearest.k_nearest(points, samples, 4, "p_partkey", "c_custkey"), "p_partkey", "v")
+    segments.append(fertility.select("p_partkey", F.round(F.greatest(F.lit(0.0), 9000 - F.col("estimate")) / 50).cast("long").alias("dose")), f"{root}/doses")
+    plots = _plots(spark, sf_dir).select("n_nationkey", polygons.edges(polygons.rings(F.col("wkt"))).alias("edges"))
+    inside = polygons.within(points, plots, 2.0).select("p_partkey", "n_nationkey")
+    return segments.read(spark, f"{root}/doses").join(inside, "p_partkey").groupBy("n_nationkey").agg(F.count("*").alias("places"), F.sum("dose").alias("dose"))
+
+
+@query("p49_geojson", f"""WITH {VERTICES}, r AS (SELECT n_nationkey, ring, abs(sum(ax * ey - ex * ay)) / 2 AS area FROM e GROUP BY 1, 2), s AS (SELECT s_nationkey AS n_nationkey, count(*) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM supplier GROUP BY 1)
+SELECT n_nationkey, n_name AS name, coalesce(suppliers, 0) AS suppliers, balance, (SELECT sum(CASE ring WHEN 0 THEN area ELSE -area END) FROM r WHERE r.n_nationkey = nation.n_nationkey) AS area FROM nation LEFT JOIN s USING (n_nationkey)""", "P")
+def geojson(spark, sf_dir):
+    """Plots with what is known of them, exported as features of GeoJSON, a line each, and read back: geometry and properties alike."""
+    about = load(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
+    rows = _plots(spark, sf_dir).join(load(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name")), "n_nationkey").join(about, "n_nationkey", "left")
+    rings = F.transform(polygons.rings(F.col("wkt")), lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
+    geometry = F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates"))
+    properties = F.struct(F.col("n_nationkey"), F.col("name"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"), F.col("balance"))
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))
+    lines = round_trip(rows.select(F.to_json(feature).alias("value")), "text")
+    kind = "type string, geometry struct<type: string, coordinates: array<array<array<double>>>>, properties struct<n_nationkey: int, name: string, suppliers: long, balance: double>"
+    back = lines.select(F.from_json("value", kind).alias("f"))
+    corners = F.transform(F.col("f.geometry.coordinates"), lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    return back.select("f.properties.*", polygons.area(corners).alias("area"))
+
+
+@query("p50_rotation_plan", """WITH h AS (SELECT o_custkey, o_orderpriority AS crop, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS back FROM orders),
+l AS (SELECT c_custkey, c_nationkey, max(crop) FILTER (WHERE back = 1) AS last, max(crop) FILTER (WHERE back = 2) AS earlier FROM customer LEFT JOIN h ON o_custkey = c_custkey GROUP BY 1, 2),
+k AS (SELECT DISTINCT o_orderpriority AS crop FROM orders)
+SELECT c_custkey, last, earlier, (SELECT min(crop) FROM k WHERE crop IS DISTINCT FROM last AND crop IS DISTINCT FROM earlier) AS next_crop, CASE WHEN r_name IN ('AFRICA', 'MIDDLE EAST') THEN 'drip' ELSE 'rain' END AS irrigation
+FROM l JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""", "P")
+def rotation_plan(spark, sf_dir):
+    """The next crop of each plot: the first that it has not had in its last two seasons; and how its zone is watered."""
+    orders = load(spark, sf_dir, "orders")
+    season = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    # The group limit reaches below the shuffle: two rows a plot and partition are exchanged.
+    two = orders.select("o_custkey", "o_orderdate", "o_orderkey", F.col("o_orderpriority").alias("crop")).withColumn("back", F.row_number().over(season)).where("back <= 2")
+    had = two.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.when(F.col("back") == 1, F.col("crop"))).alias("last"), F.max(F.when(F.col("back") == 2, F.col("crop"))).alias("earlier"))
+    crops = orders.select(F.col("o_orderpriority").alias("crop")).distinct().agg(F.array_sort(F.collect_set("crop")).alias("crops"))  # one row of the names of crops
+    zones = load(spark, sf_dir, "nation").join(F.broadcast(load(spark, sf_dir, "region")), F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", F.when(F.col("r_name").isin("AFRICA", "MIDDLE EAST"), "drip").otherwise("rain").alias("irrigation"))
+    plots = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(zones), F.col("n_nationkey") == F.col("c_nationkey")).join(had, "c_custkey", "left").withColumn("crops", crops.scalar())
+    free = F.filter("crops", lambda c: ~c.eqNullSafe(F.col("last")) & ~c.eqNullSafe(F.col("earlier")))
+    return plots.select("c_custkey", "last", "earlier", F.get(free, F.lit(0)).alias("next_crop"), "irrigation")
+
+
 class Admission:
     """A table function over batches of one plant in order: which are let in, by what stands in it.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -83,3 +84,53 @@ def map_in_arrow(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([b.column(0), pc.greater(b.column(1), 250000.0)], ["o_orderkey", "large"])
 
     return load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").mapInArrow(mark, "o_orderkey long, large boolean")
+
+
+@query("udaf_two_phase", """SELECT l_partkey, max(price) FILTER (WHERE k = 1) AS highest, max(price) FILTER (WHERE k = 2) AS second FROM (
+SELECT l_partkey, price, row_number() OVER (PARTITION BY l_partkey ORDER BY price DESC) AS k FROM (SELECT DISTINCT l_partkey, l_extendedprice AS price FROM lineitem)) WHERE k <= 2 GROUP BY 1""")
+def udaf_two_phase(spark, sf_dir):
+    """An aggregate of our own, the two highest different values, with a partial state: a batch keeps two a key, and what is exchanged is merged."""
+
+    def two(t: pa.Table) -> pa.Table:
+        rows = t.group_by(["l_partkey", "price"]).aggregate([]).sort_by([("l_partkey", "ascending"), ("price", "descending")])
+        key = rows.column("l_partkey").to_numpy()
+        first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        at = np.arange(len(key)) - np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+        return rows.filter(pa.array(at < 2)).select(["l_partkey", "price"])
+
+    def partial(batches):
+        for b in batches:
+            yield from two(pa.Table.from_batches([b])).to_batches()
+
+    def merge(t: pa.Table) -> pa.Table:
+        best = two(t).column("price").to_pylist()
+        return pa.table({"l_partkey": t.column("l_partkey")[:1], "highest": [best[0]], "second": pa.array([best[1] if len(best) > 1 else None], pa.float64())})
+
+    rows = load(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("price"))
+    return rows.mapInArrow(partial, "l_partkey long, price double").groupBy("l_partkey").applyInArrow(merge, "l_partkey long, highest double, second double")
+
+
+@query("udaf_median_deviation", "WITH m AS (SELECT o_custkey, median(o_totalprice) AS m FROM orders GROUP BY 1) SELECT o_custkey, round(median(abs(o_totalprice - m)), 4) AS deviation FROM orders JOIN m USING (o_custkey) GROUP BY 1")
+def udaf_median_deviation(spark, sf_dir):
+    """A vectorised aggregate over every customer's orders: the median of what they are off their median."""
+
+    @F.pandas_udf("double")
+    def deviation(s: pd.Series) -> float:
+        return float((s - s.median()).abs().median())
+
+    return load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(deviation("o_totalprice"), 4).alias("deviation"))
+
+
+@query("cogroup_in_pandas", """SELECT c_custkey, (SELECT count(*) FROM events WHERE user_id = c_custkey) AS events, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders,
+(SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 1000 * (SELECT avg(value) FROM events WHERE user_id = c_custkey)) AS large FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders UNION SELECT user_id FROM events)""")
+def cogroup_in_pandas(spark, sf_dir):
+    """Two tables grouped side by side: each customer's orders against the mean of the same customer's events."""
+
+    def both(key, events: pd.DataFrame, orders: pd.DataFrame) -> pd.DataFrame:
+        large = int((orders["o_totalprice"] > 1000 * events["value"].mean()).sum()) if len(events) else 0
+        return pd.DataFrame({"c_custkey": [key[0]], "events": [len(events)], "orders": [len(orders)], "large": [large]})
+
+    events = load(spark, sf_dir, "events").select("user_id", "value").groupBy("user_id")
+    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").groupBy("o_custkey")
+    out = events.cogroup(orders).applyInPandas(both, "c_custkey long, events long, orders long, large long")
+    return out.join(load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")

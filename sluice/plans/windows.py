@@ -13,12 +13,16 @@ from sluice.sources.tables import load
 @query("window_ranks", """SELECT p_partkey, row_number() OVER w AS rn, rank() OVER v AS rk, dense_rank() OVER v AS dr, ntile(4) OVER w AS nt, round(percent_rank() OVER v, 6) AS pr, round(cume_dist() OVER v, 6) AS cd
 FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey), v AS (PARTITION BY p_brand ORDER BY p_size)""")
 def window_ranks(spark, sf_dir):
-    """All ranks from counts of each value: rows are numbered only among equals, so a brand is no single task."""
+    """All ranks from counts of each value: rows are numbered among equals, in cells of 4096 keys, so neither a brand nor a value of it is a single task."""
     part = load(spark, sf_dir, "part")
     counts = part.groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
     up, whole = Window.partitionBy("p_brand").orderBy("p_size"), Window.partitionBy("p_brand")
     place = counts.select("p_brand", "p_size", "n", (F.sum("n").over(up) - F.col("n")).alias("less"), F.row_number().over(up).alias("dense"), F.sum("n").over(whole).alias("total"))
-    rows = part.join(place, ["p_brand", "p_size"]).withColumn("rn", F.col("less") + F.row_number().over(Window.partitionBy("p_brand", "p_size").orderBy("p_partkey")))
+    cell = F.floor(F.col("p_partkey") / 4096)
+    before = Window.partitionBy("p_brand", "p_size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = part.groupBy("p_brand", "p_size", cell.alias("cell")).agg(F.count("*").alias("k")).withColumn("earlier", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
+    own = F.row_number().over(Window.partitionBy("p_brand", "p_size", "cell").orderBy("p_partkey"))
+    rows = part.withColumn("cell", cell).withColumn("own", own).join(cells, ["p_brand", "p_size", "cell"]).join(place, ["p_brand", "p_size"]).withColumn("rn", F.col("less") + F.col("earlier") + F.col("own"))
     base, rest, rn = F.floor(F.col("total") / 4), F.col("total") % 4, F.col("rn")
     tile = F.when(rn <= rest * (base + 1), F.ceil(rn / (base + 1))).otherwise(rest + F.ceil(F.try_divide(rn - rest * (base + 1), base)))
     percent = F.when(F.col("total") > 1, F.col("less") / (F.col("total") - 1)).otherwise(0.0)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -32,6 +33,34 @@ def open_state(events: DataFrame, toggle: str, reset: str) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, seen long, is_open boolean", "seen long, is_open boolean", "update", GroupStateTimeout.NoTimeout)
 
 
+def open_state_by_day(events: DataFrame, toggle: str, reset: str) -> DataFrame:
+    """As open_state, for each user and day: seen, the number of toggles after the day's last reset, and whether it had one.
+
+    A user with much of the data is as many keys as there are days; combine_days folds the days.
+    """
+
+    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        seen, tail, had = state.get if state.exists else (0, 0, False)
+        batch = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        closed = (batch["event_type"] == reset).to_numpy()
+        after = closed.nonzero()[0][-1] + 1 if closed.any() else 0
+        tail = (0 if closed.any() else tail) + int((batch["event_type"].to_numpy()[after:] == toggle).sum())
+        now = (seen + len(batch), tail, bool(had or closed.any()))
+        state.update(now)
+        yield pd.DataFrame({"user_id": [key[0]], "day": [key[1]], "seen": [now[0]], "tail": [now[1]], "had": [now[2]]})
+
+    out = "user_id long, day date, seen long, tail long, had boolean"
+    return events.withColumn("day", F.to_date("ts")).groupBy("user_id", "day").applyInPandasWithState(fold, out, "seen long, tail long, had boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+def combine_days(states: DataFrame) -> DataFrame:
+    """(user_id, seen, is_open) from the last state of each user and day: a day with a reset forgets the days before it. Days are combined by grouping."""
+    last = states.groupBy("user_id", "day").agg(F.max_by(F.struct("seen", "tail", "had"), "seen").alias("s")).select("user_id", "day", "s.*")
+    reset = last.groupBy("user_id").agg(F.max(F.when(F.col("had"), F.col("day"))).alias("reset"), F.sum("seen").alias("total"))
+    both = last.join(reset, "user_id").where(F.col("reset").isNull() | (F.col("day") >= F.col("reset")))
+    return both.groupBy("user_id").agg(F.max("total").alias("seen"), (F.sum("tail") % 2 == 1).alias("is_open"))
+
+
 SPELL = "zone long, depth string, started timestamp, ended timestamp, hours long, mean double, last double"
 HOUR_MS = 3_600_000
 

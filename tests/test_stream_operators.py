@@ -139,3 +139,21 @@ def test_empty_writes_and_missing_tables(spark, tmp_path):
         segments.read(spark, f"file://{tmp_path}/none").collect()
     segments.append(spark.range(0), f"file://{tmp_path}/t")
     assert segments.read(spark, f"file://{tmp_path}/t").count() == 0
+
+
+def test_state_by_day_equals_a_loop(spark, tmp_path):
+    """Two batches, the second of which goes on within a day of the first."""
+    rng = random.Random(21)
+    rows = sorted((at(rng.randint(1, 5), rng.randint(0, 23), rng.randint(0, 59)), i, rng.randint(1, 4), rng.choice(["toggle", "toggle", "reset", "other"])) for i in range(200))
+    rows = [r for r in rows if not (r[2] == 4 and r[3] == "reset")]
+    want = {}
+    for _, _, u, kind in rows:
+        seen, is_open = want.get(u, (0, False))
+        want[u] = seen + 1, False if kind == "reset" else is_open != (kind == "toggle")
+    root = f"file://{tmp_path}/run"
+    cut = next(i for i, r in enumerate(rows) if r[0] >= at(3, 11))
+    for part in (rows[:cut], rows[cut:]):
+        spark.createDataFrame(part, "ts string, event_id long, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema("ts timestamp, event_id long, user_id long, event_type string").parquet(f"file://{tmp_path}/in")
+        out = bounded.run(stateful.open_state_by_day(stream, "toggle", "reset"), "update", root)
+    assert {r.user_id: (r.seen, r.is_open) for r in stateful.combine_days(out).collect()} == want
