@@ -1,5 +1,5 @@
-import random
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -95,5 +95,5 @@ def test_a_long_item_goes_in_ranges(spark):
     words_ = text.split()
     docs = spark.createDataFrame([(i, " ".join(words_[a : a + 40])) for i, a in enumerate(range(0, 860, 23))] + [(99, " ".join(words_[5:14])), (100, None)], "doc_id long, text string")
     items = spark.createDataFrame([("long", text), ("short", "w1 w2"), ("none", None)], "item_id string, text string")
-    run = lambda limit: sorted((r.doc_id, r.n_words, r.n_hit, str(r.spans), r["items"]) for r in decontaminate.contamination(docs, items, block_bytes=limit).collect())
+    run = lambda limit: sorted((r.doc_id, r.n_words, r.n_hit, str(r.spans), r["items"]) for r in D.contamination(docs, items, block_bytes=limit).collect())
     assert run(200) == run(1 << 20) and sum(r[2] > 0 for r in run(200)) == 38
