@@ -275,13 +275,13 @@ def pack_block_items(items: DataFrame, capacity: int, n_blocks: int) -> DataFram
     return best.mapInPandas(_unpack(capacity), "block long, bin long, pid long, length long, offset long, fill long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Pack tokenised documents into sequences of at most capacity tokens.
 
     A document is its token ids and then the separator. A longer one is cut into pieces
     of capacity tokens, the first of which may be shorter; full pieces are
     sequences of their own, the rest are packed. Returns a row per piece: doc_id, piece,
-    start, length, ids (unsigned 32-bit, little-endian), ids_crc32, sequence_id, offset. Null
+    start, length, ids (unsigned 32-bit, little-endian; left out of the result if with_ids is false), ids_crc32, sequence_id, offset. Null
     and empty texts are the separator alone. Null ids and repeated rows are
     documents like others; extra columns are ignored; an empty table gives an
     empty result.
@@ -319,7 +319,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
     for p in plans:
         plan = p if plan is None else plan.unionByName(p)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))
-    names = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"]
+    names = ["doc_id", "piece", "start", "length", *(["ids"] if with_ids else []), "ids_crc32"]
     if plan is None:
         return pieces.select(*names, (F.col("pid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     plan = plan.withColumn("part", F.shiftright("pid", 33))
@@ -346,5 +346,5 @@ def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 2048 tokens."""
     import public_tokenizers
 
-    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
