@@ -20,7 +20,7 @@ NEIGHBOURS = 15
 #: Bytes of text that these have together at most.
 SAMPLE_BYTES = 256 << 20
 #: Examples of a block, and blocks of the first group that is searched.
-BLOCK, GROUP = 64, 8
+BLOCK, GROUP = 256, 1
 #: Class factor of a word that tells the classes apart not at all; one that does for sure has 1 more.
 QUIET = 0.1
 #: A vote's weight is 1 / (this + 1 - cosine).
@@ -107,9 +107,9 @@ class BlockMaxIndex:
     def search(self, at: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0."""
         n = self.first[at + 1] - self.first[at]
-        pieces, w = runs(self.first[at], n), np.repeat(q, n)
+        pieces, term = runs(self.first[at], n), np.repeat(np.arange(len(at)), n)
         block = self.block[pieces]
-        bounds = np.bincount(block, w * self.most[pieces], minlength=self.blocks)
+        bounds = np.bincount(block, q[term] * self.most[pieces], minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
@@ -121,9 +121,13 @@ class BlockMaxIndex:
             chosen = np.zeros(self.blocks, bool)
             chosen[group] = True
             use = chosen[block]
-            length = self.cut[pieces[use] + 1] - self.cut[pieces[use]]
-            to = runs(self.cut[pieces[use]], length)
-            s = np.bincount(self.example[to], self.weight[to] * np.repeat(w[use], length), minlength=self.n)
+            # A term's pieces in adjoining blocks are one run of postings.
+            on = use[1:] & use[:-1] & (term[1:] == term[:-1])
+            begins, stops = np.flatnonzero(use & ~np.append(False, on)), np.flatnonzero(use & ~np.append(on, False))
+            begin = self.cut[pieces[begins]]
+            length = self.cut[pieces[stops] + 1] - begin
+            to = runs(begin, length)
+            s = np.bincount(self.example.take(to), self.weight.take(to) * np.repeat(q[term[begins]], length), minlength=self.n)
             if skip >= 0:
                 s[skip] = 0
             own = np.flatnonzero(s > 0)
@@ -232,6 +236,7 @@ def build_index(rows: pa.Table, counts: dict[int, int]) -> BlockMaxIndex:
     top = max(weights.values())
     index = BlockMaxIndex(keep, value, held, {x: w / top for x, w in weights.items()}, unseen)
     index.calibrate()
+    index.at = []  # the examples' terms, which only calibration wants: they aren't sent on
     return index
 
 

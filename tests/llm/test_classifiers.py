@@ -128,7 +128,7 @@ def test_network_gradient_moves_the_loss_down():
     assert s[:8].min() > 0.8 and s[8:].max() < 0.2
 
 
-def index(seed=0, n=300, terms=40):
+def index(seed=0, n=1500, terms=40):
     rng = np.random.default_rng(seed)
     keep = np.sort(rng.integers(0, 1 << 63, terms, dtype=np.uint64))
     rows = []
