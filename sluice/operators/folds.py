@@ -62,15 +62,23 @@ def running_total(df: DataFrame, key: str, order: tuple[str, ...], value: Column
 
 
 def running_mean_before(df: DataFrame, key: str, order: tuple[str, ...], value: str, name: str) -> DataFrame:
-    """df with the mean of value over the earlier rows of each key; null for its first row."""
-    df = _day(df, order)
+    """df with the mean of value over the earlier rows of each key; null for its first row.
+
+    Where all of a key's values so far have ten decimals at most, their sum is exact, so that neither the cut into days nor
+    the order in which partial sums arrive rounds it; otherwise it is a sum of doubles.
+    """
+    exact = F.col(value).cast("double").try_cast("decimal(28,10)")
+    df = _day(df, order).withColumn("_e", exact).withColumn("_o", F.when(F.col("_e").cast("double").eqNullSafe(F.col(value).cast("double")), 0).otherwise(1))
     inside = Window.partitionBy(key, "_d").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(key).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
-    days = df.groupBy(key, "_d").agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    carry = days.select(key, "_d", F.coalesce(F.sum("s").over(before), zero).alias("_s"), F.coalesce(F.sum("n").over(before), zero).alias("_n"))
-    out = df.withColumns({"_a": F.coalesce(F.sum(value).over(inside), zero), "_b": F.coalesce(F.count(value).over(inside), zero)}).join(carry, [key, "_d"])
-    return out.withColumn(name, F.try_divide(F.col("_a") + F.col("_s"), F.col("_b") + F.col("_n"))).drop("_d", "_a", "_b", "_s", "_n")
+    days = df.groupBy(key, "_d").agg(F.sum(value).alias("s"), F.sum("_e").alias("e"), F.sum("_o").alias("o"), F.count(value).alias("n"))
+    carry = days.select(key, "_d", *(F.coalesce(F.sum(c).over(before), zero).alias(f"_{c}0") for c in "seon"))
+    own = {"_s": F.sum(value), "_e": F.sum("_e"), "_o": F.sum("_o"), "_n": F.count(value)}
+    out = df.select(*df.columns[:-2], *(F.coalesce(a.over(inside), zero).alias(c) for c, a in own.items())).join(carry, [key, "_d"])
+    whole = lambda c: F.col(f"_{c}") + F.col(f"_{c}0")
+    total = F.when(whole("o") == 0, whole("e").cast("double")).otherwise(whole("s"))
+    return out.withColumn(name, F.try_divide(total, whole("n"))).drop("_d", *own, *(f"{c}0" for c in own))
 
 
 def with_neighbours(df: DataFrame, key: str, order: tuple[str, ...], value: str, back: int, ahead: int, ends: bool = False) -> DataFrame:
