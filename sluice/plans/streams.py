@@ -20,6 +20,11 @@ def _appended(spark, sf_dir, plan, delay=DELAY, deliveries=1, **more):
     return bounded.run_to_end(spark, sf_dir, "events", "ts", "event_type", plan, delay, deliveries, **more)
 
 
+def _buckets(spark, sf_dir, rows=20_000):
+    """Buckets of about so many events, 64 at least."""
+    return max(64, spark.read.parquet(f"{sf_dir}/events.parquet").count() // rows)
+
+
 def _plain(c):
     return c.cast("timestamp_ntz")
 
@@ -70,8 +75,9 @@ def stream_static_join(spark, sf_dir):
 @query("stream_state", """WITH g AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS era FROM events), m AS (SELECT user_id, max(era) AS era, count(*) AS seen FROM g GROUP BY 1)
 SELECT g.user_id, any_value(seen) AS seen, count(*) FILTER (WHERE event_type = 'click') % 2 = 1 AS is_open FROM g JOIN m ON g.user_id = m.user_id AND g.era = m.era GROUP BY 1""")
 def stream_state(spark, sf_dir):
-    """The reset fold as a stateful operator, keyed by user and day; the days' last states give each user's."""
-    out = bounded.run(stateful.open_state_by_day(_events(spark, sf_dir).select("user_id", "event_id", "ts", "event_type"), "click", "error"), "update")
+    """The reset fold as a stateful operator over users and days, in as many buckets as the table asks for; the days' last states give each user's."""
+    buckets = _buckets(spark, sf_dir)
+    out = bounded.run(stateful.open_state_by_day(_events(spark, sf_dir).select("user_id", "event_id", "ts", "event_type"), "click", "error", buckets), "update")
     return stateful.combine_days(out)
 
 

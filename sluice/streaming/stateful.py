@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,24 +34,54 @@ def open_state(events: DataFrame, toggle: str, reset: str) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, seen long, is_open boolean", "seen long, is_open boolean", "update", GroupStateTimeout.NoTimeout)
 
 
-def open_state_by_day(events: DataFrame, toggle: str, reset: str) -> DataFrame:
+#: In place of the day of an event without a time.
+NO_DAY = -(2**31)
+
+
+def _days_of(batch: pd.DataFrame, toggle: str, reset: str) -> np.ndarray:
+    """A row (user, day, seen, tail, had) for each user and day of a batch, in this order."""
+    order = np.lexsort([batch[c].to_numpy() for c in ("event_id", "ts", "day", "user_id")])
+    user, day, kind = (batch[c].to_numpy()[order] for c in ("user_id", "day", "event_type"))
+    place, toggles = np.arange(len(order)), np.cumsum(kind == toggle)
+    starts = np.flatnonzero(np.r_[True, (user[1:] != user[:-1]) | (day[1:] != day[:-1])])
+    ends = np.r_[starts[1:], len(order)] - 1
+    last = np.maximum.reduceat(np.where(kind == reset, place, -1), starts)
+    upto = np.maximum(last, starts - 1)
+    tail = toggles[ends] - np.where(upto >= 0, toggles[upto], 0)
+    return np.stack([user[starts], day[starts], ends - starts + 1, tail, last >= 0], axis=1).astype(np.int64)
+
+
+def _go_on(old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all rows, those of new): the rows of new go on from those of old of the same user and day."""
+    both = np.concatenate([old, new])
+    fresh = np.arange(len(both)) >= len(old)
+    order = np.lexsort([fresh, both[:, 1], both[:, 0]])
+    both, fresh = both[order], fresh[order]
+    same = np.flatnonzero((both[1:, :2] == both[:-1, :2]).all(axis=1))
+    was, now = both[same], both[same + 1]
+    both[same + 1, 2:] = np.stack([was[:, 2] + now[:, 2], now[:, 3] + np.where(now[:, 4] == 1, 0, was[:, 3]), was[:, 4] | now[:, 4]], axis=1)
+    return np.delete(both, same, axis=0), both[fresh]
+
+
+def open_state_by_day(events: DataFrame, toggle: str, reset: str, buckets: int = 64) -> DataFrame:
     """As open_state, for each user and day: seen, the number of toggles after the day's last reset, and whether it had one.
 
-    A user with much of the data is as many keys as there are days; combine_days folds the days.
+    A user with much of the data is as many keys as there are days; combine_days folds the days. Users and days are kept in
+    buckets, five numbers each, so that one call of the function folds many of them; buckets should grow with the table,
+    and are the state's keys, so that a stream that goes on has to go on with as many. Events without a user are ignored.
     """
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        seen, tail, had = state.get if state.exists else (0, 0, False)
-        batch = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        closed = (batch["event_type"] == reset).to_numpy()
-        after = closed.nonzero()[0][-1] + 1 if closed.any() else 0
-        tail = (0 if closed.any() else tail) + int((batch["event_type"].to_numpy()[after:] == toggle).sum())
-        now = (seen + len(batch), tail, bool(had or closed.any()))
-        state.update(now)
-        yield pd.DataFrame({"user_id": [key[0]], "day": [key[1]], "seen": [now[0]], "tail": [now[1]], "had": [now[2]]})
+        old = np.frombuffer(state.get[0], np.int64) if state.exists else np.empty(0, np.int64)
+        kept, now = _go_on(old.reshape(-1, 5), _days_of(pd.concat(list(frames)), toggle, reset))
+        state.update((kept.tobytes(),))
+        day = pd.to_datetime(pd.Series(now[:, 1]).where(now[:, 1] != NO_DAY), unit="D").dt.date
+        yield pd.DataFrame({"user_id": now[:, 0], "day": day, "seen": now[:, 2], "tail": now[:, 3], "had": now[:, 4] == 1})
 
     out = "user_id long, day date, seen long, tail long, had boolean"
-    return events.withColumn("day", F.to_date("ts")).groupBy("user_id", "day").applyInPandasWithState(fold, out, "seen long, tail long, had boolean", "update", GroupStateTimeout.NoTimeout)
+    rows = events.where(F.col("user_id").isNotNull()).withColumn("day", F.coalesce(F.unix_date(F.to_date("ts")), F.lit(NO_DAY)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("user_id", "day"), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInPandasWithState(fold, out, "days binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def combine_days(states: DataFrame) -> DataFrame:
