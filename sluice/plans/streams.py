@@ -135,12 +135,13 @@ s AS (SELECT zone, hour, sum(new) OVER (PARTITION BY zone ORDER BY hour) AS spel
 SELECT zone, depth, min(min(hour)) OVER (PARTITION BY zone, spell) AS started, max(max(hour)) OVER (PARTITION BY zone, spell) AS ended, count(*) AS hours, round(avg(m), 6) AS mean, round(arg_max(m, hour), 6) AS last
 FROM h JOIN s USING (zone, hour) GROUP BY zone, spell, depth""", "P")
 def moisture_spells(spark, sf_dir):
-    """Moisture by depth and zone, continuously: hour means feed one state a zone, which a timer closes when the zone has been silent for a day."""
+    """Moisture by depth and zone, continuously: hour means feed the state of the zones, in as many buckets as the table asks for, and a timer closes a zone that has been silent for a day."""
+    buckets = _buckets(spark, sf_dir)
 
     def plan(e):
         hours = e.groupBy(F.window("ts", "1 hour"), "user_id", "event_type").agg(F.avg("value").alias("mean"))
         rows = hours.select(F.col("user_id").alias("zone"), F.col("event_type").alias("depth"), F.window_time("window").alias("at"), F.col("window.start").alias("hour"), "mean")
-        return stateful.moisture_spells(rows, silence_hours=24)
+        return stateful.moisture_spells(rows, 24, buckets)
 
     out = _appended(spark, sf_dir, plan, "1 hour", 2, conf=stateful.ROCKSDB)
     return out.select("zone", "depth", _plain(F.col("started")).alias("started"), _plain(F.col("ended")).alias("ended"), "hours", F.round("mean", 6).alias("mean"), F.round("last", 6).alias("last"))

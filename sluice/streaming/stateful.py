@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -97,56 +98,86 @@ HOUR_MS = 3_600_000
 
 
 class MoistureSpells(StatefulProcessor):
-    """One zone's spell: what each depth has had since it began, and when the zone last spoke.
+    """The spells of a bucket of zones: what each depth has had since its zone's spell began, and when the zone last spoke.
 
-    A timer on event time stands silence after the last hour; it gives out the spell and
-    clears the state, so that silent zones hold none. An hour that comes after such
+    The state is a row for each zone and depth of an open spell. A timer on event time stands where the zone
+    that has been silent longest has been so for silence after its last hour; it gives out the spells that are over and
+    drops their rows, so that silent zones hold none. An hour that comes after such
     a silence within one batch closes the spell itself, so batches may be cut anywhere.
     """
 
+    COLUMNS = ("zone", "depth", "first", "last", "hours", "known", "total", "value")
+
     def __init__(self, silence_hours: int):
         self.silence = silence_hours * HOUR_MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.depths = handle.getMapState("depths", "depth string", "hours long, total double, at long, last double")
-        self.span = handle.getValueState("span", "first long, last long")
-
-    def _close(self, zone: int) -> pd.DataFrame:
-        first, last = self.span.get()
-        rows = [(zone, depth, first, last, hours, total / hours, value) for (depth,), (hours, total, _, value) in self.depths.iterator()]
-        self.depths.clear()
-        self.span.clear()
-        out = pd.DataFrame(rows, columns=["zone", "depth", "started", "ended", "hours", "mean", "last"])
-        return out.assign(started=pd.to_datetime(out["started"], unit="ms"), ended=pd.to_datetime(out["ended"], unit="ms"))
+        self.open = handle.getValueState("open", "rows binary")
+
+    def _held(self) -> pd.DataFrame | None:
+        return pa.ipc.open_stream(self.open.get()[0]).read_pandas() if self.open.exists() else None
+
+    def _hold(self, spells: pd.DataFrame) -> None:
+        """Keep the open spells, with a timer for the one that ends first."""
+        if spells.empty:
+            self.open.clear()
+            return
+        table = pa.Table.from_pandas(spells, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as to:
+            to.write_table(table)
+        self.open.update((sink.getvalue().to_pybytes(),))
+        # An hour is known when it is over: the last one that can still belong to the spell ends an hour after its start.
+        self.handle.registerTimer(int(spells["last"].min()) + self.silence + HOUR_MS)
+
+    @staticmethod
+    def _closed(spells: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"zone": spells["zone"], "depth": spells["depth"], "started": pd.to_datetime(spells["first"], unit="ms"), "ended": pd.to_datetime(spells["last"], unit="ms")})
+        return out.assign(hours=spells["hours"], mean=spells["total"] / spells["known"], last=spells["value"])
+
+    def _parts(self, batch: pd.DataFrame, held: pd.DataFrame | None) -> pd.DataFrame:
+        """Spells by zone, in time, and depth; of each zone the last one is open. Those held are gone on with."""
+        rows = pd.DataFrame({"zone": batch["zone"], "depth": batch["depth"], "first": batch["hour"].astype("datetime64[ms]").astype("int64"), "hours": 1, "known": batch["mean"].notna().astype("int64"), "total": batch["mean"], "value": batch["mean"]})
+        rows["last"] = rows["first"]
+        # Held rows stand before the hours that are new: all of a zone's rows begin where its spell did and end where it last spoke.
+        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+        rows["at"] = rows["last"]
+        rows = rows.sort_values(["zone", "at", "depth"], kind="stable", ignore_index=True)
+        new = (rows["zone"] != rows["zone"].shift()) | (rows["first"] - rows["last"].shift() > self.silence)
+        rows["spell"] = new.cumsum()
+        span = rows.groupby("spell").agg(first=("first", "min"), last=("last", "max"))
+        by = rows.groupby(["spell", "depth"], sort=False, dropna=False, as_index=False).agg(zone=("zone", "first"), hours=("hours", "sum"), known=("known", "sum"), total=("total", "sum"), value=("value", "last"))
+        return by.join(span, on="spell")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         if pd.isna(key[0]):
             return  # heartbeats; a filter for them would go below the watermark and stop it
-        # One row an hour and depth: a batch of them is bounded by the time that it spans.
-        batch = pd.concat(list(rows)).sort_values(["hour", "depth"])
+        # One row an hour and depth: a batch of them is bounded by the time that it spans and the zones of a bucket.
+        spells = self._parts(pd.concat(list(rows)), self._held())
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        millis = batch["hour"].astype("datetime64[ms]").astype("int64")
-        for depth, at, mean in zip(batch["depth"], millis, batch["mean"], strict=True):
-            first, last = self.span.get() if self.span.exists() else (at, at)
-            if at - last > self.silence:
-                yield self._close(key[0])
-                first = at
-            hours, total = self.depths.getValue((depth,))[:2] if self.depths.containsKey((depth,)) else (0, 0.0)
-            self.depths.updateValue((depth,), (hours + 1, total + mean, at, mean))
-            self.span.update((first, at))
-        # An hour is known when it is over: the last one that can still belong to the spell ends an hour after its start.
-        self.handle.registerTimer(self.span.get()[1] + self.silence + HOUR_MS)
+        over = spells["spell"] < spells.groupby("zone")["spell"].transform("max")
+        if over.any():
+            yield self._closed(spells[over])
+        self._hold(spells.loc[~over, list(self.COLUMNS)])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.span.exists():
-            yield self._close(key[0])
+        held = self._held()
+        if held is not None:
+            over = held["last"] + self.silence + HOUR_MS <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+            if over.any():
+                yield self._closed(held[over])
+            self._hold(held[~over])
 
     def close(self) -> None:
         pass
 
 
-def moisture_spells(hours: DataFrame, silence_hours: int) -> DataFrame:
-    """Spells of zones between silences, by depth: hours is a stream of zone, depth, hour and mean, one row of each, appended by watermark."""
-    return hours.groupBy("zone").transformWithStateInPandas(MoistureSpells(silence_hours), SPELL, "Append", "EventTime")
+def moisture_spells(hours: DataFrame, silence_hours: int, buckets: int = 64) -> DataFrame:
+    """Spells of zones between silences, by depth: hours is a stream of zone, depth, hour and mean, one row of each, appended by watermark.
+
+    Zones share so many buckets, which should grow with the table; a stream that goes on has to go on with as many.
+    """
+    bucket = F.when(F.col("zone").isNotNull(), F.pmod(F.xxhash64("zone"), F.lit(buckets)))
+    return hours.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(MoistureSpells(silence_hours), SPELL, "Append", "EventTime")
