@@ -42,9 +42,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def partitioned(df: DataFrame, *by: str) -> DataFrame:
-    """df written partitioned by columns, and read back so that filters on them prune folders."""
+    """df written partitioned by columns, and read back so that filters on them prune folders. Each task writes its own rows to every folder: a value with much of the table is not one task's."""
     path = f"{shared_dir(df.sparkSession)}/sluice/by-{uuid.uuid4().hex}"
-    df.repartition(*by).write.partitionBy(*by).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
