@@ -124,13 +124,18 @@ def udaf_median_deviation(spark, sf_dir):
 @query("cogroup_in_pandas", """SELECT c_custkey, (SELECT count(*) FROM events WHERE user_id = c_custkey) AS events, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders,
 (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 1000 * (SELECT avg(value) FROM events WHERE user_id = c_custkey)) AS large FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders UNION SELECT user_id FROM events)""")
 def cogroup_in_pandas(spark, sf_dir):
-    """Two tables grouped side by side: each customer's orders against the mean of the same customer's events."""
-
-    def both(key, events: pd.DataFrame, orders: pd.DataFrame) -> pd.DataFrame:
-        large = int((orders["o_totalprice"] > 1000 * events["value"].mean()).sum()) if len(events) else 0
-        return pd.DataFrame({"c_custkey": [key[0]], "events": [len(events)], "orders": [len(orders)], "large": [large]})
-
-    events = load(spark, sf_dir, "events").select("user_id", "value").groupBy("user_id")
-    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").groupBy("o_custkey")
-    out = events.cogroup(orders).applyInPandas(both, "c_custkey long, events long, orders long, large long")
+    """Two tables grouped side by side: each customer's orders against the mean of the same customer's events. A group holds many customers, as many groups as the tables ask for."""
+
+    def both(events: pd.DataFrame, orders: pd.DataFrame) -> pd.DataFrame:
+        seen = events.groupby("user_id")["value"].agg(["size", "mean"])
+        large = orders["o_totalprice"] > 1000 * orders["o_custkey"].map(seen["mean"])
+        own = large.groupby(orders["o_custkey"]).agg(["size", "sum"])
+        out = pd.DataFrame({"events": seen["size"], "orders": own["size"], "large": own["sum"]}).fillna(0).astype("int64")
+        return out.rename_axis("c_custkey").reset_index()
+
+    events = load(spark, sf_dir, "events").select("user_id", "value").where("user_id IS NOT NULL")
+    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").where("o_custkey IS NOT NULL")
+    groups = F.lit(max(64, (events.count() + orders.count()) // 50_000))
+    dealt = lambda df, key: df.groupBy(F.pmod(F.xxhash64(key), groups))
+    out = dealt(events, "user_id").cogroup(dealt(orders, "o_custkey")).applyInPandas(both, "c_custkey long, events long, orders long, large long")
     return out.join(load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
