@@ -89,25 +89,41 @@ def map_in_arrow(spark, sf_dir):
 @query("udaf_two_phase", """SELECT l_partkey, max(price) FILTER (WHERE k = 1) AS highest, max(price) FILTER (WHERE k = 2) AS second FROM (
 SELECT l_partkey, price, row_number() OVER (PARTITION BY l_partkey ORDER BY price DESC) AS k FROM (SELECT DISTINCT l_partkey, l_extendedprice AS price FROM lineitem)) WHERE k <= 2 GROUP BY 1""")
 def udaf_two_phase(spark, sf_dir):
-    """An aggregate of our own, the two highest different values, with a partial state: a batch keeps two a key, and what is exchanged is merged."""
+    """An aggregate of our own, the two highest different values, with a partial state: a batch keeps two a key, and what is exchanged is sorted and merged batch by batch."""
 
-    def two(t: pa.Table) -> pa.Table:
+    def two(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        """The two highest of each key, by key, and where the keys begin."""
         rows = t.group_by(["l_partkey", "price"]).aggregate([]).sort_by([("l_partkey", "ascending"), ("price", "descending")])
-        key = rows.column("l_partkey").to_numpy()
-        first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        key, null = (c.to_numpy() for c in (pc.fill_null(rows.column("l_partkey"), 0), pc.is_null(rows.column("l_partkey"))))
+        first = np.r_[True, (key[1:] != key[:-1]) | (null[1:] != null[:-1])] if len(key) else np.zeros(0, bool)
         at = np.arange(len(key)) - np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-        return rows.filter(pa.array(at < 2)).select(["l_partkey", "price"])
+        return rows.filter(pa.array(at < 2)).select(["l_partkey", "price"]), first[at < 2]
 
     def partial(batches):
         for b in batches:
-            yield from two(pa.Table.from_batches([b])).to_batches()
+            yield from two(pa.Table.from_batches([b]))[0].to_batches()
 
-    def merge(t: pa.Table) -> pa.Table:
-        best = two(t).column("price").to_pylist()
-        return pa.table({"l_partkey": t.column("l_partkey")[:1], "highest": [best[0]], "second": pa.array([best[1] if len(best) > 1 else None], pa.float64())})
+    def finish(rows: pa.Table, first: np.ndarray) -> list[pa.RecordBatch]:
+        at = np.flatnonzero(first)
+        after = pa.array(at + 1, mask=np.r_[first, True][at + 1])
+        best = rows.take(pa.array(at))
+        return pa.table({"l_partkey": best.column("l_partkey"), "highest": best.column("price"), "second": rows.column("price").take(after)}).to_batches()
 
-    rows = load(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("price"))
-    return rows.mapInArrow(partial, "l_partkey long, price double").groupBy("l_partkey").applyInArrow(merge, "l_partkey long, highest double, second double")
+    def merge(batches):
+        """Batches come in order of keys; the last key of each may go on in the next."""
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            rows, first = two(t if held is None else pa.concat_tables([held, t]))
+            last = int(np.flatnonzero(first)[-1]) if len(first) else 0
+            yield from finish(rows.slice(0, last), first[:last])
+            held = rows.slice(last)
+        if held is not None and held.num_rows:
+            yield from finish(*two(held))
+
+    rows = load(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("price")).mapInArrow(partial, "l_partkey long, price double")
+    dealt = rows.repartition("l_partkey").sortWithinPartitions(F.asc_nulls_last("l_partkey"))
+    return dealt.mapInArrow(merge, "l_partkey long, highest double, second double")
 
 
 @query("udaf_median_deviation", "WITH m AS (SELECT o_custkey, median(o_totalprice) AS m FROM orders GROUP BY 1) SELECT o_custkey, round(median(abs(o_totalprice - m)), 4) AS deviation FROM orders JOIN m USING (o_custkey) GROUP BY 1")
