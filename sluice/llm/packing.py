@@ -96,23 +96,27 @@ def _piece_batch(rows, id_type):
 
 
 class Bins:
-    """A packing: item lists with free space, found by best fit in constant time."""
+    """A packing: item lists with free space, found by best fit in constant time. Packings share lists, so these are replaced, not changed."""
 
     def __init__(self, sizes: list[int], capacity: int):
         self.sizes, self.cap = sizes, capacity
         self.items: list[list[int]] = []
         self.free: list[int] = []
+        self._cost: tuple[int, float] | None = None
 
-    def add(self, items: list[int]) -> None:
+    def add(self, items: list[int], free: int | None = None) -> None:
         self.items.append(items)
-        self.free.append(self.cap - sum(self.sizes[i] for i in items))
+        self.free.append(self.cap - sum(self.sizes[i] for i in items) if free is None else free)
 
     def best_fit(self, items: list[int]) -> None:
         """Put items, in the order given, each into the fullest bin that takes it, or a new one."""
+        self._cost = None
         by: dict[int, list[int]] = {}
-        mask = 0
+        mask, least = 0, min((self.sizes[i] for i in items), default=0)
         for b, f in enumerate(self.free):
-            by.setdefault(f, []).append(b)
+            if f >= least:
+                by.setdefault(f, []).append(b)
+        for f in by:
             mask |= 1 << f
         for i in items:
             s = self.sizes[i]
@@ -123,7 +127,7 @@ class Bins:
                 b = own.pop()
                 if not own:
                     mask ^= 1 << f
-                self.items[b].append(i)
+                self.items[b] = [*self.items[b], i]
             else:
                 b, f = len(self.items), self.cap
                 self.items.append([i])
@@ -134,7 +138,9 @@ class Bins:
 
     def cost(self) -> tuple[int, float]:
         """Fewer bins first; then fuller full bins, so that what is loose is together."""
-        return len(self.items), -sum(((self.cap - f) / self.cap) ** 2 for f in self.free)
+        if self._cost is None:
+            self._cost = len(self.items), -sum([((self.cap - f) / self.cap) ** 2 for f in self.free])
+        return self._cost
 
     def genes(self) -> np.ndarray:
         out = np.zeros(len(self.sizes), np.int32)
@@ -153,30 +159,30 @@ class Bins:
 
 def crossover(a: Bins, b: Bins, rng: random.Random) -> Bins:
     """Inject a section of b's well-filled bins into a; bins of a that share an item with them go, and their other items are placed by best fit, largest first."""
-    full = sorted(range(len(b.items)), key=lambda k: (b.free[k], k))
+    full = sorted(range(len(b.items)), key=b.free.__getitem__)
     full = full[: max(1, len(full) * 3 // 4)]
     section = rng.sample(full, max(1, int(len(full) * rng.uniform(0.1, 0.5))))
     taken = {i for k in section for i in b.items[k]}
     child, displaced = Bins(a.sizes, a.cap), []
-    for own in a.items:
+    for own, free in zip(a.items, a.free, strict=True):
         if taken.isdisjoint(own):
-            child.add(list(own))
+            child.add(own, free)
         else:
             displaced += [i for i in own if i not in taken]
     for k in section:
-        child.add(list(b.items[k]))
-    child.best_fit(sorted(displaced, key=lambda i: -a.sizes[i]))
+        child.add(b.items[k], b.free[k])
+    child.best_fit(sorted(displaced, key=a.sizes.__getitem__, reverse=True))
     return child
 
 
 def mutate(a: Bins, rng: random.Random) -> Bins:
     """Empty the loosest bins and a few others, and place their items again."""
-    order = sorted(range(len(a.items)), key=lambda k: -a.free[k])
+    order = sorted(range(len(a.items)), key=a.free.__getitem__, reverse=True)
     gone = set(order[: 1 + len(order) // 50]) | set(rng.sample(order, min(len(order), 3)))
     child = Bins(a.sizes, a.cap)
     for k, own in enumerate(a.items):
         if k not in gone:
-            child.add(list(own))
+            child.add(own, a.free[k])
     loose = [i for k in gone for i in a.items[k]]
     rng.shuffle(loose)
     child.best_fit(sorted(loose, key=lambda i: -a.sizes[i] * rng.uniform(0.8, 1.0)))
